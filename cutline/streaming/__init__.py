@@ -1,0 +1,2 @@
+"""Intentionally empty: every source this engine reads is a yearly batch, and no operator is
+stateful over an unbounded input, so there is nothing to express with Structured Streaming."""
