@@ -110,13 +110,12 @@ def pool_by_origin(errors: DataFrame, origins: list[int]) -> DataFrame:
     return small.withColumn("for_origin", F.explode(later))
 
 
-def calibration_tables(errors: DataFrame, keys: list[str] = [], coverage: float = COVERAGE):
+def calibration_tables(errors: DataFrame, keys: list[str] = [], coverage: float = COVERAGE, weight=None):
     """(global radius, radius per institute type and round), both per ``keys``."""
-    whole = lifted_quantile(errors, keys, "abs_residual", coverage, "abs_residual_quantile")
-    groups = lifted_quantile(
-        errors, [*keys, "institute_type", "round"], "abs_residual", coverage, "abs_residual_quantile"
+    quantile = lambda by: lifted_quantile(
+        errors, by, "abs_residual", coverage, "abs_residual_quantile", weight
     )
-    return whole, groups
+    return quantile(keys), quantile([*keys, "institute_type", "round"])
 
 
 def calibration_long(errors: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -152,13 +151,10 @@ def apply_intervals(rows: DataFrame, whole: DataFrame, groups: DataFrame, keys:
 
 def rolling_intervals(errors: DataFrame, origins: list[int]) -> DataFrame:
     """Errors with the interval an origin could have known: residuals of earlier origins only."""
-    pool = pool_by_origin(errors, origins)
-    # copies are re-expanded as weights by repeating the counted value, still one row per value
-    weighted = pool.select(
-        F.col("for_origin").cast("bigint").alias("origin"), "model", "institute_type", "round", "abs_residual",
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__i"),
-    ).drop("__i")
-    whole, groups = calibration_tables(weighted, ["model", "origin"])
+    pool = pool_by_origin(errors, origins).drop("origin").withColumn(
+        "origin", F.col("for_origin").cast("bigint")
+    )
+    whole, groups = calibration_tables(pool, ["model", "origin"], weight="copies")
     return apply_intervals(errors, whole, groups, ["model", "origin"])
 
 

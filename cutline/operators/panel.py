@@ -201,7 +201,7 @@ def history_by_branch(df: DataFrame) -> DataFrame:
     One row per (year, key): ranks of one final round of that season; key has no PwD flag, so
     of several pools the non-PwD one speaks for the branch.
     """
-    finals = final_rounds(df.where(F.col(TARGET).isNotNull()), HISTORY_KEY, ["is_pwd"])
+    finals = final_rounds(df, HISTORY_KEY, ["is_pwd"])
     before = Window.partitionBy(*HISTORY_KEY).orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
     # a key may skip seasons: carry every (year, key) that occurs, then fill its past
     seasons = df.select("year", *HISTORY_KEY).distinct()

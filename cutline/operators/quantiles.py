@@ -23,17 +23,20 @@ N_BORDERS = 200
 
 def order_statistics(
     df: DataFrame, keys: list[str], value: str, positions: dict[str, Callable[[Column], Column]],
+    weight: str | None = None,
 ) -> DataFrame:
     """keys + ``n`` + one column per entry of ``positions``: the value at that 0-based position.
 
     Each entry maps the group's row count (a Column) to the position wanted. NULL values are
-    not counted; groups without any value do not appear.
+    not counted; groups without any value do not appear. ``weight`` names a column that says
+    how many times a row counts.
     """
     group = keys or ["__all"]
     data = df if keys else df.withColumn("__all", F.lit(1))
     counted = (
         data.where(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+        .groupBy(*group, F.col(value).alias("__v")).agg(
+            (F.sum(weight) if weight else F.count(F.lit(1))).alias("__c"))
     )
     steps = [i / N_BORDERS for i in range(1, N_BORDERS)]
     borders = counted.groupBy(*group).agg(
@@ -104,7 +107,7 @@ def lifted_position(n: Column, coverage: float) -> Column:
 
 
 def lifted_quantile(
-    df: DataFrame, keys: list[str], value: str, coverage: float, name: str,
+    df: DataFrame, keys: list[str], value: str, coverage: float, name: str, weight: str | None = None,
 ) -> DataFrame:
     """Upper order statistic used as interval radius: keys, n, value."""
-    return order_statistics(df, keys, value, {name: lambda n: lifted_position(n, coverage)})
+    return order_statistics(df, keys, value, {name: lambda n: lifted_position(n, coverage)}, weight)
