@@ -159,33 +159,38 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One seat pool per (supplier, part type): suppliers of the fact table as institutes."""
-    kinds = read(spark, sf_dir, "part").select("p_type").distinct()
-    s = read(spark, sf_dir, "supplier")
-    k = F.col("s_suppkey")
-    categories = F.explode(F.array(F.lit("OPEN"), F.lit("OBC-NCL"), F.lit("SC")))
-    # six part types: a fixed small list crossed with suppliers, not a pair expansion
-    return s.select(k, categories.alias("category")).join(F.broadcast(kinds), how="cross").select(
-        F.concat_ws("-", k.cast("string"), "p_type", "category").alias("seat_id"),
-        institute_columns(k)["institute"].alias("institute"), F.upper(program_name(F.col("p_type"))).alias("branch"), "category",
-        F.when(k % 3 == 0, "STATE_BOARD").otherwise("CENTRAL").alias("counselling"),
-        (k % 3 + 1).cast("int").alias("capacity"),
+    """One seat pool per (brand, part type, category): a bounded catalogue."""
+    k = F.substring("p_brand", 7, 4).cast("bigint")
+    pools = read(spark, sf_dir, "part").select(k.alias("k"), "p_type").distinct()
+    category = F.explode(F.array(F.lit("OPEN"), F.lit("OBC-NCL"), F.lit("SC"))).alias("category")
+    return pools.select("k", "p_type", category).select(
+        F.concat_ws("-", F.col("k").cast("string"), "p_type", "category").alias("seat_id"),
+        institute_columns(F.col("k"))["institute"].alias("institute"),
+        F.upper(program_name(F.col("p_type"))).alias("branch"), "category",
+        F.when(F.col("k") % 3 == 0, "STATE_BOARD").otherwise("CENTRAL").alias("counselling"),
+        (F.col("k") % 3 + 1).cast("int").alias("capacity"),
     )
 
 
 def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' wishes: (institute, branch) of the lines they ordered, in line order."""
-    lines = _lines_with_parts(spark, sf_dir)
+    """Customers' wish lists: the (institute, branch) pools of their orders, first bought first.
+
+    Wishes are reduced to distinct pools before the list is built, so a list never exceeds the
+    catalogue (25 x 6) however many orders one customer has.
+    """
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    wish = F.struct(
-        F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
-        institute_columns(F.col("l_suppkey"))["institute"].alias("institute"), program_name(F.col("p_type")).alias("branch"))
-    bought = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).groupBy("o_custkey").agg(
-        F.array_sort(F.collect_list(wish)).alias("__w"))
+    lines = _lines_with_parts(spark, sf_dir)
+    k = F.substring("p_brand", 7, 4).cast("bigint")
+    wishes = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).groupBy(
+        "o_custkey", institute_columns(k)["institute"].alias("institute"), program_name(F.col("p_type")).alias("branch")
+    ).agg(F.min("o_orderkey").alias("first_order"))
+    lists = wishes.groupBy("o_custkey").agg(F.array_sort(F.collect_list(
+        F.struct("first_order", "institute", "branch"))).alias("__w"))
     p = profiles(spark, sf_dir)
-    return bought.join(p, bought["o_custkey"] == p["profile_id"]).select(
+    return lists.join(p, lists["o_custkey"] == p["profile_id"]).select(
         F.col("profile_id").alias("candidate_id"), F.col("main_rank").alias("rank"), "category",
-        F.transform("__w", lambda w: F.struct(w["institute"].alias("institute"), w["branch"].alias("branch"))).alias("preferences"))
+        F.transform("__w", lambda w: F.struct(
+            w["institute"].alias("institute"), w["branch"].alias("branch"))).alias("preferences"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
