@@ -45,23 +45,24 @@ def null_words_to_null(c: Column) -> Column:
     return F.when(F.lower(F.trim(c)).isin(NULL_WORDS), F.lit(None)).otherwise(c)
 
 
-def _rank_text(c: Column) -> Column:
+def rank_text(c: Column) -> Column:
     return F.replace(F.trim(c), F.lit(","), F.lit(""))
 
 
-def rank_has_suffix(c: Column) -> Column:
+def rank_has_suffix(text: Column) -> Column:
     """True for ranks of the preparatory kind, written as digits followed by P."""
-    return F.coalesce(_rank_text(c).rlike(r"(?i)^\d+P$"), F.lit(False))
+    return F.coalesce(text.rlike(r"(?i)^\d+P$"), F.lit(False))
 
 
-def parse_rank(c: Column) -> Column:
-    """Digits with optional P suffix, or any plain number cut towards zero; else NULL."""
-    text = _rank_text(c)
-    number = F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
-    whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
-    return F.when(
-        rank_has_suffix(c), F.regexp_extract(text, r"^(\d+)", 1).try_cast("bigint")
-    ).otherwise(whole.try_cast("bigint"))
+def rank_number(text: Column) -> Column:
+    """Number of a rank text: the digits before a P suffix, or any plain number; else NULL."""
+    return F.when(rank_has_suffix(text), F.regexp_extract(text, r"^(\d+)", 1).try_cast("double")).when(
+        text.rlike(PLAIN_NUMBER), text.try_cast("double"))
+
+
+def cut_to_whole(number: Column) -> Column:
+    """Towards zero; NULL stays NULL and numbers too large for a rank become NULL."""
+    return F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).try_cast("bigint")
 
 
 def institute_type(name: Column, accept_abbreviation: bool = True) -> Column:
@@ -87,8 +88,12 @@ def seat_is_pwd(c: Column) -> Column:
     return F.coalesce(_seat(c).rlike(r"\(PWD\)|(^|\s)PWD(\s|$)"), F.lit(False))
 
 
-def seat_category(c: Column) -> Column:
-    base = F.trim(F.regexp_replace(_seat(c), r"\s*\(?\s*PWD\s*\)?\s*", ""))
+def seat_base(c: Column) -> Column:
+    """Seat type without its PwD marker."""
+    return F.trim(F.regexp_replace(_seat(c), r"\s*\(?\s*PWD\s*\)?\s*", ""))
+
+
+def seat_category(base: Column) -> Column:
     return _case(
         [
             (base.startswith("OPEN") | base.startswith("GEN"), "OPEN"),

@@ -18,12 +18,16 @@ def nulls_from_words(df: DataFrame) -> DataFrame:
 
 
 def parse_ranks(df: DataFrame) -> DataFrame:
-    o, c = F.col("`Opening Rank`"), F.col("`Closing Rank`")
-    return df.withColumns({
-        "opening_rank": text.parse_rank(o),
-        "closing_rank": text.parse_rank(c),
-        "is_pwd_rank": text.rank_has_suffix(o) | text.rank_has_suffix(c),
-    })
+    """Rank columns in three narrow steps, so no text expression is repeated in generated code."""
+    o, c = F.col("__o"), F.col("__c")
+    texts = df.withColumns({
+        "__o": text.rank_text(F.col("`Opening Rank`")), "__c": text.rank_text(F.col("`Closing Rank`"))})
+    numbers = texts.withColumns({
+        "__on": text.rank_number(o), "__cn": text.rank_number(c),
+        "is_pwd_rank": text.rank_has_suffix(o) | text.rank_has_suffix(c)})
+    return numbers.withColumns({
+        "opening_rank": text.cut_to_whole(F.col("__on")), "closing_rank": text.cut_to_whole(F.col("__cn")),
+    }).drop("__o", "__c", "__on", "__cn")
 
 
 def drop_unranked(df: DataFrame) -> DataFrame:
@@ -36,17 +40,16 @@ def drop_unranked(df: DataFrame) -> DataFrame:
 
 def normalise(df: DataFrame) -> DataFrame:
     """Closed-domain columns from the raw strings."""
-    institute = F.trim(F.col("Institute"))
     seat = F.col("`Seat Type`")
-    return df.withColumns({
-        "institute": institute,
-        "institute_type": text.institute_type(institute),
+    trimmed = df.withColumns({
+        "institute": F.trim(F.col("Institute")), "__base": text.seat_base(seat),
+        "is_pwd": text.seat_is_pwd(seat), "gender": text.gender_label(F.col("Gender")),
+        "quota": text.quota_label(F.col("Quota"))})
+    return trimmed.withColumns({
+        "institute_type": text.institute_type(F.col("institute")),
         **text.program_parts(F.col("`Academic Program Name`")),
-        "category": text.seat_category(seat),
-        "is_pwd": text.seat_is_pwd(seat),
-        "gender": text.gender_label(F.col("Gender")),
-        "quota": text.quota_label(F.col("Quota")),
-    })
+        "category": text.seat_category(F.col("__base")),
+    }).drop("__base")
 
 
 def first_by_source(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -78,16 +81,13 @@ def clean_rounds(raw: DataFrame, order=("source_file", "source_row_id")) -> Data
 
 def mapping_pairs(raw: DataFrame) -> DataFrame:
     """Distinct raw -> normalised values of every closed domain, long form."""
-    trimmed = lambda c: F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("(empty)"))
-    pairs = F.array(
-        F.struct(F.lit("category").alias("domain"), trimmed("Seat Type").alias("raw"),
-                 text.seat_category(F.col("`Seat Type`")).alias("normalised")),
-        F.struct(F.lit("quota"), trimmed("Quota"), text.quota_label(F.col("Quota"))),
-        F.struct(F.lit("gender"), trimmed("Gender"), text.gender_label(F.col("Gender"))),
-        F.struct(F.lit("institute_type"), trimmed("Institute"),
-                 text.institute_type(F.trim(F.col("Institute")))),
-    )
-    return raw.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+    sources = {"category": "Seat Type", "quota": "Quota", "gender": "Gender", "institute_type": "Institute"}
+    normal = normalise(raw.withColumnsRenamed({s: f"__raw {d}" for d, s in sources.items()}).withColumns({
+        s: F.col(f"`__raw {d}`") for d, s in sources.items()}))
+    pairs = F.array(*[
+        F.struct(F.lit(d).alias("domain"), F.coalesce(F.trim(F.col(f"`__raw {d}`")), F.lit("(empty)")).alias("raw"),
+                 F.col(d).alias("normalised")) for d in sources])
+    return normal.select(F.explode(pairs).alias("p")).select("p.*").distinct()
 
 
 def forward_fill(df: DataFrame, columns: list[str], row_id: str, file_column: str) -> DataFrame:

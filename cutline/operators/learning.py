@@ -33,6 +33,12 @@ RARE_BELOW = 2
 SEED = 42
 
 
+def _level(feature: str, mode: str, rare: list[str]):
+    """Category text with gaps as the most frequent level and rare levels pooled."""
+    c = F.coalesce(F.col(feature), F.lit(mode))
+    return F.when(c.isin(rare), "__rare").otherwise(c) if rare else c
+
+
 @dataclass
 class Design:
     """Fitted preprocessing: medians, spreads and category levels of the training rows."""
@@ -63,8 +69,7 @@ class Design:
             if f in self.gaps:
                 columns[f"__g_{f}"] = c.isNull().cast("double") / F.lit(self.spreads[f"gap {f}"])
         for f in self.categorical:
-            c = F.coalesce(F.col(f), F.lit(self.modes[f]))
-            columns[f"__c_{f}"] = F.when(c.isin(self.rare[f]), "__rare").otherwise(c) if self.rare[f] else c
+            columns[f"__c_{f}"] = _level(f, self.modes[f], self.rare[f])
         out = df.withColumns(columns)
         names = [f"__n_{f}" for f in self.numeric] + [f"__g_{f}" for f in self.gaps]
         if self.indexer is not None:
@@ -104,9 +109,7 @@ def fit_design(train: DataFrame, features: list[str], one_hot: bool = True) -> D
         rare = {f: sorted(r["v"] for r in few if r["f"] == f) for f in categorical} if one_hot else {f: [] for f in categorical}
     design = Design(features, medians, spreads if one_hot else {k: 1.0 for k in spreads}, gaps, modes, rare, None, None)
     if categorical:
-        ready = train.select(*[
-            (F.when(F.coalesce(F.col(f), F.lit(modes[f])).isin(rare[f]), "__rare") if rare[f] else F.when(F.lit(False), ""))
-            .otherwise(F.coalesce(F.col(f), F.lit(modes[f]))).alias(f"__c_{f}") for f in categorical])
+        ready = train.select(*[_level(f, modes[f], rare[f]).alias(f"__c_{f}") for f in categorical])
         design.indexer = StringIndexer(
             inputCols=[f"__c_{f}" for f in categorical], outputCols=[f"__i_{f}" for f in categorical],
             handleInvalid="keep", stringOrderType="alphabetAsc").fit(ready)
@@ -114,7 +117,7 @@ def fit_design(train: DataFrame, features: list[str], one_hot: bool = True) -> D
             # the extra index of unseen levels comes last and is the dropped one: a zero vector
             design.encoder = OneHotEncoder(
                 inputCols=[f"__i_{f}" for f in categorical], outputCols=[f"__o_{f}" for f in categorical],
-                dropLast=True, handleInvalid="keep").fit(design.indexer.transform(ready))
+                dropLast=True).fit(design.indexer.transform(ready))
     return design
 
 
