@@ -141,10 +141,15 @@ def scaled_quota(bucket: str, top_n: Column) -> Column:
     return F.greatest(F.lit(0), share[bucket] + (ahead < left).cast("int")).cast("int")
 
 
+def is_balanced() -> Column:
+    return F.coalesce(F.col("sort_mode"), F.lit("best_fit")) == "best_fit"
+
+
 def quota_and_backfill(ordered: DataFrame) -> DataFrame:
     """Heads of each bucket up to its quota, then the best of the rest up to top_n.
 
-    Adds ``selected`` and ``pick_order`` (bucket heads in bucket order, then backfill).
+    Adds ``selected`` and ``pick_order`` (bucket heads in bucket order, then backfill). Lists
+    sorted by another mode than best_fit take the plain first ``top_n``.
     """
     top_n = F.col("top_n")
     quota = None
@@ -155,7 +160,8 @@ def quota_and_backfill(ordered: DataFrame) -> DataFrame:
         group = F.when(hit, i) if group is None else group.when(hit, i)
     in_bucket = Window.partitionBy("profile_id", "recommendation_bucket").orderBy("sort_position")
     mine = Window.partitionBy("profile_id")
-    head = ordered.withColumn("__head", F.row_number().over(in_bucket) <= quota)
+    head = ordered.withColumn("__head", F.when(
+        is_balanced(), F.row_number().over(in_bucket) <= quota).otherwise(F.col("sort_position") <= top_n))
     counted = head.withColumns({
         "__n_head": F.sum(F.col("__head").cast("int")).over(mine),
         "__fill": F.sum((~F.col("__head")).cast("int")).over(mine.orderBy("sort_position")),
@@ -212,24 +218,24 @@ def balanced_selection(ordered: DataFrame) -> DataFrame:
             F.max((F.col("selected") & (F.col("rank_type_used") == t)).cast("int")).over(mine) == 0,
         )
     for step, t in enumerate(types):
-        pool = _swap_in(pool, "rank_type_used", t, step, F.col(f"__miss_{t}"))
+        pool = _swap_in(pool, "rank_type_used", t, step, is_balanced() & F.col(f"__miss_{t}"))
     for step, b in enumerate(BUCKET_QUOTAS, start=len(types)):
-        pool = _swap_in(pool, "recommendation_bucket", b, step, F.lit(True))
+        pool = _swap_in(pool, "recommendation_bucket", b, step, is_balanced())
     return pool.where("selected").drop("selected", "pick_order", *[f"__miss_{t}" for t in types])
 
 
 def recommend(scored: DataFrame) -> DataFrame:
     """Final list per profile: balanced for best_fit, plain head for the other sort modes."""
-    ordered = order_candidates(scored)
-    is_fit = F.coalesce(F.col("sort_mode"), F.lit("best_fit")) == "best_fit"
-    heads = ordered.where(~is_fit & (F.col("sort_position") <= F.col("top_n")))
-    chosen = balanced_selection(ordered.where(is_fit)).select(*ordered.columns).unionByName(heads)
+    chosen = balanced_selection(order_candidates(scored))
     place = F.row_number().over(Window.partitionBy("profile_id").orderBy("sort_position"))
     return chosen.withColumn("position", place)
 
 
-def response_summary(profiles: DataFrame, chosen: DataFrame) -> DataFrame:
-    """One row per profile: list totals, safest and reach headline choices with fallbacks."""
+def response_summary(profiles: DataFrame, chosen: DataFrame, extra: dict[str, Column] = {}) -> DataFrame:
+    """One row per profile: list totals, safest and reach headline choices with fallbacks.
+
+    ``extra`` aggregates ride along in the same grouping.
+    """
     name = text.display_name(F.col("institute"), F.col("program"))
     in_bucket = lambda b: F.col("recommendation_bucket") == b
     first = lambda cond: F.min_by(F.when(cond, name), F.when(cond, F.col("position")))
@@ -241,6 +247,7 @@ def response_summary(profiles: DataFrame, chosen: DataFrame) -> DataFrame:
         first(in_bucket("safe_backup")).alias("__safe"),
         first(in_bucket("ambitious_reach")).alias("__reach"),
         first(F.lit(True)).alias("__any"),
+        *[c.alias(n) for n, c in extra.items()],
     )
     out = profiles.select("profile_id", "main_rank", "advanced_rank").join(per, "profile_id", "left")
     main_low, main_high = scoring.reach_window(F.col("main_rank"))
@@ -252,7 +259,7 @@ def response_summary(profiles: DataFrame, chosen: DataFrame) -> DataFrame:
         F.coalesce("__reach", F.lit("No realistic reach found")).alias("top_upgrade"),
         F.col("__reach").alias("most_ambitious"),
         main_low.alias("main_reach_low"), main_high.alias("main_reach_high"),
-        adv_low.alias("advanced_reach_low"), adv_high.alias("advanced_reach_high"),
+        adv_low.alias("advanced_reach_low"), adv_high.alias("advanced_reach_high"), *extra,
     )
 
 
@@ -313,7 +320,7 @@ def grounding_check(rows: DataFrame) -> DataFrame:
     })
 
 
-def context_block(profiles: DataFrame, chosen: DataFrame, summary: DataFrame, limit: int = 10) -> DataFrame:
+def context_block(profiles: DataFrame, chosen: DataFrame, limit: int = 10) -> DataFrame:
     """Text block per profile: totals, headline picks and up to ten numbered choices."""
     c = lambda n: F.col(n)
     number = lambda col: text.thousands(col)
@@ -332,11 +339,9 @@ def context_block(profiles: DataFrame, chosen: DataFrame, summary: DataFrame, li
         F.lit(" | Quota: "), c("quota"),
     )
     # at most ``limit`` short lines per profile are collected
-    lines = chosen.where(c("position") <= limit).groupBy("profile_id").agg(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda s: s["line"]), "\n"
-        ).alias("__lines")
-    )
+    top = F.collect_list(F.when(c("position") <= limit, F.struct("position", line.alias("line"))))
+    lines = F.nullif(F.array_join(F.transform(F.array_sort(top), lambda s: s["line"]), "\n"), F.lit(""))
+    summary = response_summary(profiles, chosen, {"__lines": lines})
     reach = F.col("ambitious_count") > 0
     gone = F.lit("No realistic reach found")
     head = F.concat_ws(
@@ -353,4 +358,4 @@ def context_block(profiles: DataFrame, chosen: DataFrame, summary: DataFrame, li
         F.lit("### Top Recommendations"),
         c("__lines"),
     )
-    return summary.join(lines, "profile_id", "left").select("profile_id", head.alias("context"))
+    return summary.select("profile_id", head.alias("context"))

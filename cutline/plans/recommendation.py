@@ -222,18 +222,39 @@ def _(spark, sf):
 _QUOTA = lambda i: f"""(top_n * {(30, 50, 20)[i]} // 100 + CASE WHEN ({' + '.join(
     f"CASE WHEN top_n * {q} % 100 {'>=' if j < i else '>'} top_n * {(30, 50, 20)[i]} % 100 THEN 1 ELSE 0 END" for j, q in enumerate((30, 50, 20)) if j != i)})
  < top_n - top_n * 30 // 100 - top_n * 50 // 100 - top_n * 20 // 100 THEN 1 ELSE 0 END)"""
-_FILLED = f"""SELECT * FROM (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY profile_id) AS n_head, sum(CASE WHEN head THEN 0 ELSE 1 END) OVER (PARTITION BY profile_id ORDER BY sort_position) AS fill FROM (
- SELECT *, row_number() OVER (PARTITION BY profile_id, recommendation_bucket ORDER BY sort_position) <= CASE recommendation_bucket WHEN 'safe_backup' THEN {_QUOTA(0)} WHEN 'best_realistic' THEN {_QUOTA(1)} ELSE {_QUOTA(2)} END AS head FROM ordered))
- WHERE head OR fill <= top_n - n_head"""
+_MARKED = f"""SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY profile_id) AS n_head, sum(CASE WHEN head THEN 0 ELSE 1 END) OVER (PARTITION BY profile_id ORDER BY sort_position) AS fill FROM (
+ SELECT *, row_number() OVER (PARTITION BY profile_id, recommendation_bucket ORDER BY sort_position) <= CASE recommendation_bucket WHEN 'safe_backup' THEN {_QUOTA(0)} WHEN 'best_realistic' THEN {_QUOTA(1)} ELSE {_QUOTA(2)} END AS head FROM ordered)"""
+_FILLED = f"SELECT * FROM ({_MARKED}) WHERE sort_mode = 'best_fit' AND (head OR fill <= top_n - n_head)"
 
 
 @query("K5_J11_quota_and_backfill", f"SELECT profile_id, choice_id, recommendation_bucket, sort_position FROM ({_FILLED})", ("ordered",))
 def _(spark, sf):
     rows = recommend.quota_and_backfill(recommend.order_candidates(scored(spark, sf)))
-    return rows.where("selected").select(*_PER, "recommendation_bucket", "sort_position")
+    return rows.where(recommend.is_balanced() & F.col("selected")).select(*_PER, "recommendation_bucket", "sort_position")
 
 
-@query("K5_balanced_selection")
+def _swap_sql(src: str, column: str, value: str, step: int, wanted: str) -> str:
+    """One swap in SQL: marks, then the new selected flag and pick order."""
+    swap = f"({wanted} AND sort_mode = 'best_fit' AND have = 0 AND best IS NOT NULL AND final IS NOT NULL AND n_sel >= top_n)"
+    return f"""SELECT * EXCLUDE (have, best, n_sel, peers, final, sel, ord), CASE WHEN {swap} AND sort_position = best AND NOT sel THEN true WHEN {swap} AND sel AND ord = final THEN false ELSE sel END AS sel,
+ CASE WHEN {swap} AND sort_position = best AND NOT sel THEN {10_000_000 + step} ELSE ord END AS ord FROM (
+ SELECT *, max(CASE WHEN sel AND peers > 1 THEN ord END) OVER (PARTITION BY profile_id) AS final FROM (
+ SELECT *, max(CASE WHEN sel AND {column} = '{value}' THEN 1 ELSE 0 END) OVER (PARTITION BY profile_id) AS have, min(CASE WHEN NOT sel AND {column} = '{value}' THEN sort_position END) OVER (PARTITION BY profile_id) AS best,
+ sum(CASE WHEN sel THEN 1 ELSE 0 END) OVER (PARTITION BY profile_id) AS n_sel, sum(CASE WHEN sel THEN 1 ELSE 0 END) OVER (PARTITION BY profile_id, {column}) AS peers FROM ({src})))"""
+
+
+def _balanced_sql() -> str:
+    sql = f"""SELECT *, max(CASE WHEN sel AND rank_type_used = 'JEE_ADVANCED' THEN 1 ELSE 0 END) OVER (PARTITION BY profile_id) = 0 AS miss0,
+ max(CASE WHEN sel AND rank_type_used = 'JEE_MAIN' THEN 1 ELSE 0 END) OVER (PARTITION BY profile_id) = 0 AS miss1 FROM (
+ SELECT *, CASE WHEN sort_mode <> 'best_fit' THEN sort_position <= top_n ELSE head OR fill <= top_n - n_head END AS sel,
+ CASE WHEN head THEN CASE recommendation_bucket WHEN 'safe_backup' THEN 0 WHEN 'best_realistic' THEN 1 ELSE 2 END ELSE 3 END * 1000000 + sort_position AS ord FROM ({_MARKED}))"""
+    for step, (column, value, wanted) in enumerate((("rank_type_used", "JEE_ADVANCED", "miss0"), ("rank_type_used", "JEE_MAIN", "miss1"),
+                                                     ("recommendation_bucket", "safe_backup", "true"), ("recommendation_bucket", "best_realistic", "true"), ("recommendation_bucket", "ambitious_reach", "true"))):
+        sql = _swap_sql(sql, column, value, step, wanted)
+    return f"SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY sort_position) AS position FROM ({sql}) WHERE sel"
+
+
+@query("K5_balanced_selection", f"SELECT profile_id, choice_id, position, sort_mode, recommendation_bucket, rank_type_used, recommendation_score FROM ({_balanced_sql()})", ("ordered",))
 def _(spark, sf):
     return chosen(spark, sf).select(*_PER, "position", "sort_mode", "recommendation_bucket", "rank_type_used", "recommendation_score")
 
@@ -245,36 +266,28 @@ def _(spark, sf):
         "top_n", *[as_long(recommend.scaled_quota(b, F.col("top_n"))).alias(b) for b in recommend.BUCKET_QUOTAS])
 
 
-# lists of profiles whose own mode is not the balanced one need no swaps, so SQL can follow them
-_HEADS = "SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY sort_position) AS position FROM ordered WHERE sort_mode <> 'best_fit' AND sort_position <= top_n"
+_PLAIN = "SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY sort_position) AS position FROM ordered WHERE sort_mode <> 'best_fit' AND sort_position <= top_n"
 
 
-@query("K7_mode_heads", f"SELECT profile_id, choice_id, position FROM ({_HEADS})", ("ordered",))
+@query("K7_mode_heads", f"SELECT profile_id, choice_id, position FROM ({_PLAIN})", ("ordered",))
 def _(spark, sf):
     return chosen(spark, sf).where(F.col("sort_mode") != "best_fit").select(*_PER, "position")
 
 
+_HEADS = _balanced_sql()
 _NAME = "institute || ' — ' || program"
 _SUMMARY = f"""SELECT p.profile_id, coalesce(n, 0) AS total_options, coalesce(s, 0) AS safe_count, coalesce(t, 0) AS moderate_count, coalesce(a, 0) AS ambitious_count,
  coalesce(fs, fany, '—') AS safest_choice, coalesce(fr, 'No realistic reach found') AS top_upgrade, fr AS most_ambitious,
  CAST(round_even(main_rank * 0.60e0, 0) AS BIGINT) AS main_reach_low, CAST(round_even(main_rank * 1.05e0, 0) AS BIGINT) AS main_reach_high,
  CAST(round_even(advanced_rank * 0.60e0, 0) AS BIGINT) AS advanced_reach_low, CAST(round_even(advanced_rank * 1.05e0, 0) AS BIGINT) AS advanced_reach_high
- FROM (SELECT * FROM profiles WHERE sort_mode <> 'best_fit') p LEFT JOIN (SELECT profile_id, count(*) AS n, count(*) FILTER (recommendation_bucket = 'safe_backup') AS s, count(*) FILTER (recommendation_bucket = 'best_realistic') AS t,
+ FROM profiles p LEFT JOIN (SELECT profile_id, count(*) AS n, count(*) FILTER (recommendation_bucket = 'safe_backup') AS s, count(*) FILTER (recommendation_bucket = 'best_realistic') AS t,
  count(*) FILTER (recommendation_bucket = 'ambitious_reach') AS a, arg_min({_NAME}, position) FILTER (recommendation_bucket = 'safe_backup') AS fs, arg_min({_NAME}, position) FILTER (recommendation_bucket = 'ambitious_reach') AS fr,
  arg_min({_NAME}, position) AS fany FROM ({_HEADS}) GROUP BY profile_id) c ON p.profile_id = c.profile_id"""
 
 
-def _heads(spark, sf):
-    return chosen(spark, sf).where(F.col("sort_mode") != "best_fit")
-
-
-def _head_profiles(spark, sf):
-    return d.profiles(spark, sf).where(F.col("sort_mode") != "best_fit")
-
-
 @query("A26_response_summary", _SUMMARY, ("profiles", "ordered"))
 def _(spark, sf):
-    return recommend.response_summary(_head_profiles(spark, sf), _heads(spark, sf))
+    return recommend.response_summary(d.profiles(spark, sf), chosen(spark, sf))
 
 
 _TH = lambda x: f"format('{{:,}}', {x})"
@@ -377,6 +390,4 @@ _LINE = f"""position || '. **' || institute || '** - ' || program || ' [' || con
  || '- **Top safe pick:** ' || safest_choice || chr(10) || '- **Best upgrade pick:** ' || CASE WHEN ambitious_count > 0 THEN top_upgrade ELSE 'No realistic reach found' END || chr(10) || '- **Most ambitious pick:** ' || CASE WHEN ambitious_count > 0 THEN most_ambitious ELSE 'No realistic reach found' END || chr(10)
  || '### Top Recommendations' || coalesce(chr(10) || lines, '') AS context FROM ({_SUMMARY}) s LEFT JOIN (SELECT profile_id, string_agg({_LINE}, chr(10) ORDER BY position) AS lines FROM ({_HEADS}) WHERE position <= 10 GROUP BY 1) l ON s.profile_id = l.profile_id""", ("profiles", "ordered"))
 def _(spark, sf):
-    rows = _heads(spark, sf)
-    summary = recommend.response_summary(_head_profiles(spark, sf), rows)
-    return recommend.context_block(_head_profiles(spark, sf), rows, summary)
+    return recommend.context_block(d.profiles(spark, sf), chosen(spark, sf))
