@@ -1,5 +1,6 @@
 """Spark ML forecasters over the past-only panel, their diagnostics and ablations.
 
+Fits read their rows many times, so panels are stored once (reliable checkpoint) before fitting.
 Fitting works on the bounded catalogue of institutes and programmes; only model state (medians,
 spreads, level lists, coefficients) reaches the driver.
 """
@@ -11,15 +12,17 @@ from dataclasses import dataclass
 
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cutline.functions import scoring
 from cutline.operators.evaluation import regression_metrics
 from cutline.operators.panel import longitudinal_panel, match_counts, match_outcomes, target_frame
 from cutline.operators.quantiles import exact_median
+from cutline.session import durable
 from cutline.schemas import (
     CATEGORICAL_FEATURES, FEATURES_BY_MODE, FREQUENCY_FEATURES, HISTORY_FEATURES,
     PREVIOUS_ROUND_FEATURES, TARGET, check_features,
@@ -30,6 +33,7 @@ RIDGE_ALPHA = 10.0
 BOOSTING = {"maxIter": 120, "stepSize": 0.06, "maxDepth": 5, "minInstancesPerNode": 30, "seed": 42}
 FOREST = {"numTrees": 200, "maxDepth": 20, "minInstancesPerNode": 5, "seed": 42}
 RARE_BELOW = 2
+NORMAL_WIDTH = 4096
 SEED = 42
 
 
@@ -51,6 +55,7 @@ class Design:
     rare: dict[str, list[str]]
     indexer: Model | None
     encoder: Model | None
+    kept: list[int] | None = None
 
     @property
     def numeric(self) -> list[str]:
@@ -60,6 +65,9 @@ class Design:
     def categorical(self) -> list[str]:
         return [f for f in self.features if f in CATEGORICAL_FEATURES]
 
+    def width(self) -> int:
+        return len(self.column_names())
+
     def apply(self, df: DataFrame) -> DataFrame:
         """Adds vector column ``x``: numbers, gap indicators, then category columns."""
         columns = {}
@@ -79,9 +87,32 @@ class Design:
             names += [f"__o_{f}" for f in self.categorical]
         else:
             names += [f"__i_{f}" for f in self.categorical]
-        scored = VectorAssembler(inputCols=names, outputCol="x").transform(out)
+        if self.kept is None:
+            scored = VectorAssembler(inputCols=names, outputCol="x").transform(out)
+        else:
+            full = VectorAssembler(inputCols=names, outputCol="__full").transform(out)
+            scored = VectorSlicer(inputCol="__full", outputCol="x", indices=self.kept).transform(full)
         return scored.select(*df.columns, "x")
 
+    def drop_constant(self, rows: DataFrame) -> bool:
+        """Leave out columns without spread in ``rows``: their coefficient is zero anyway, and
+        they would make the moment matrix singular. True when something was dropped."""
+        spread = rows.select(Summarizer.variance(F.col("x"))).first()[0].toArray()
+        kept = [i for i, v in enumerate(spread) if v > 0]
+        if len(kept) == len(spread):
+            return False
+        self.kept = kept
+        return True
+
+    def column_names(self) -> list[str]:
+        names = [*self.numeric, *[f"gap {f}" for f in self.gaps]]
+        if self.encoder is not None:
+            for f, labels in zip(self.categorical, self.indexer.labelsArray):
+                names += [f"{f}={label}" for label in labels]
+        else:
+            names += self.categorical
+        return names if self.kept is None else [names[i] for i in self.kept]
+
 
 def fit_design(train: DataFrame, features: list[str], one_hot: bool = True) -> Design:
     numeric = [f for f in features if f not in CATEGORICAL_FEATURES]
@@ -131,15 +162,21 @@ class Forecaster:
 
 
 def fit_ridge(train: DataFrame, features: list[str], alpha: float = RIDGE_ALPHA) -> Forecaster:
-    """L2 linear model. Spark scales the label by its deviation and averages the loss, so the
-    penalty of the sum-of-squares form is alpha * stddev(y) / n."""
+    """L2 linear model with the penalty alpha of the sum-of-squares form.
+
+    Up to NORMAL_WIDTH columns the moments are summed in one pass and solved exactly; wider
+    designs iterate. Spark averages the loss and divides the penalty by the label's deviation
+    (population form in the one-pass solver, sample form in the iterative one).
+    """
     design = fit_design(train, features)
+    design.drop_constant(design.apply(train))
     rows = design.apply(train).select("x", F.col(TARGET).cast("double").alias("label")).persist()
     try:
-        n, sd = rows.agg(F.count(F.lit(1)), F.stddev_samp("label")).first()
+        n, pop, samp = rows.agg(F.count(F.lit(1)), F.stddev_pop("label"), F.stddev_samp("label")).first()
+        exact = design.width() <= NORMAL_WIDTH
         model = LinearRegression(
-            featuresCol="x", elasticNetParam=0.0, standardization=False, solver="l-bfgs",
-            regParam=alpha * sd / n, maxIter=200, tol=1e-8).fit(rows)
+            featuresCol="x", elasticNetParam=0.0, standardization=False, solver="normal" if exact else "l-bfgs",
+            regParam=alpha * (pop if exact else samp) / n, maxIter=500, tol=1e-9).fit(rows)
     finally:
         rows.unpersist()
     return Forecaster(design, model)
@@ -166,12 +203,12 @@ def fit_forest(train: DataFrame, features: list[str], **overrides) -> Forecaster
 def origin_tables(observed: DataFrame, panel: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
     """(training rows before ``year``, matched forecast rows of ``year``)."""
     frame = target_frame(observed, year)
-    return panel.where(F.col("year") < year), match_outcomes(frame, observed, year)
+    return panel.where(F.col("year") < year), durable(match_outcomes(frame, observed, year))
 
 
 def learned_folds(observed: DataFrame, years: list[int], models: dict) -> DataFrame:
     """Predictions of each named fit at each origin, long form: one fit per origin and model."""
-    panel = longitudinal_panel(observed)
+    panel = durable(longitudinal_panel(observed))
     features = check_features(FEATURES_BY_MODE["pre_counselling"], "pre_counselling")
     out = None
     for year in years:
@@ -187,7 +224,7 @@ def learned_folds(observed: DataFrame, years: list[int], models: dict) -> DataFr
 def ablations(observed: DataFrame, final_year: int) -> DataFrame:
     """Ridge refits without history, without frequencies, and with the forbidden opening rank;
     variants whose features are already excluded repeat the full row."""
-    panel = longitudinal_panel(observed)
+    panel = durable(longitudinal_panel(observed))
     full = FEATURES_BY_MODE["pre_counselling"]
     train, matched = origin_tables(observed, panel, final_year)
     variants = {
@@ -218,7 +255,7 @@ def in_round_tables(observed: DataFrame, year: int, round_: int) -> tuple[DataFr
     frame = target_frame(observed, year, target_round=round_, completed=observed)
     cohort = observed.where(F.col("round") == round_)
     panel = longitudinal_panel(observed, "in_round_update").where(F.col("year") < year)
-    return panel, match_outcomes(frame, cohort, year), match_counts(frame, cohort, year)
+    return durable(panel), durable(match_outcomes(frame, cohort, year)), match_counts(frame, cohort, year)
 
 
 def in_round_diagnostic(observed: DataFrame, year: int, round_: int) -> DataFrame:
@@ -302,13 +339,7 @@ def classify(model: Forecaster, df: DataFrame) -> DataFrame:
 
 def importance_table(spark, forecaster: Forecaster) -> DataFrame:
     """Impurity importances or coefficients by magnitude, named by vector slot."""
-    d, m = forecaster.design, forecaster.model
-    names = [*d.numeric, *[f"gap {f}" for f in d.gaps]]
-    if d.encoder is not None:
-        for f, labels in zip(d.categorical, d.indexer.labelsArray):
-            names += [f"{f}={label}" for label in labels]
-    else:
-        names += d.categorical
+    names, m = forecaster.design.column_names(), forecaster.model
     values = m.featureImportances if hasattr(m, "featureImportances") else m.coefficients
     rows = [(n, float(v), abs(float(v))) for n, v in zip(names, values.toArray())]
     return spark.createDataFrame(rows, "feature string, value double, magnitude double")

@@ -11,19 +11,27 @@ from cutline.functions import scoring
 from cutline.operators import diagnostics as dg, evaluation as ev, learning as ml, panel
 from cutline.plans.registry import query, rounded
 from cutline.schemas import OUTCOME_KEY, PRE_SEASON_FEATURES
+from cutline.session import durable
 from cutline.sources import driver_tables as d
 
-# smaller than the library defaults: four trees of depth four keep a registered query short
+# fewer and shallower trees than the library defaults keep a registered query short
 QUICK_BOOSTING = {"maxIter": 10, "maxDepth": 4}
 QUICK_FOREST = {"numTrees": 10, "maxDepth": 6}
 
 
+_TABLES: dict[tuple[str, str], object] = {}
+
+
 def _table(spark, sf):
-    return d.observed(spark, sf, "brand")
+    """The observed table, stored once per session: fitting reads it many times."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TABLES:
+        _TABLES[key] = durable(d.observed(spark, sf, "brand"))
+    return _TABLES[key]
 
 
 def _splits(spark, sf):
-    rows = panel.split_by_year(panel.longitudinal_panel(_table(spark, sf)), 1999, [2000], [2001])
+    rows = durable(panel.split_by_year(panel.longitudinal_panel(_table(spark, sf)), 1999, [2000], [2001]))
     return [rows.where(F.col("split") == s).drop("split") for s in ("train", "valid", "test")]
 
 
