@@ -42,7 +42,8 @@ def _case(pairs, default) -> Column:
 
 
 def null_words_to_null(c: Column) -> Column:
-    return F.when(F.lower(F.trim(c)).isin(NULL_WORDS), F.lit(None)).otherwise(c)
+    # a constant array keeps the generated code short when many columns are cleaned at once
+    return F.when(F.array_contains(F.lit(NULL_WORDS), F.lower(F.trim(c))), F.lit(None)).otherwise(c)
 
 
 def rank_text(c: Column) -> Column:
@@ -55,14 +56,17 @@ def rank_has_suffix(text: Column) -> Column:
 
 
 def rank_number(text: Column) -> Column:
-    """Number of a rank text: the digits before a P suffix, or any plain number; else NULL."""
-    return F.when(rank_has_suffix(text), F.regexp_extract(text, r"^(\d+)", 1).try_cast("double")).when(
-        text.rlike(PLAIN_NUMBER), text.try_cast("double"))
+    """Number of a rank text: the digits before a P suffix, or any plain number; else NULL.
+
+    One chain that names its input once: the optimizer copies it into filters.
+    """
+    bare = F.regexp_replace(text, r"(?i)^(\d+)P$", "$1")
+    return F.regexp_extract(bare, PLAIN_NUMBER, 0).try_cast("double")
 
 
 def cut_to_whole(number: Column) -> Column:
     """Towards zero; NULL stays NULL and numbers too large for a rank become NULL."""
-    return F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).try_cast("bigint")
+    return number.try_cast("bigint")
 
 
 def institute_type(name: Column, accept_abbreviation: bool = True) -> Column:

@@ -32,10 +32,8 @@ def parse_ranks(df: DataFrame) -> DataFrame:
 
 def drop_unranked(df: DataFrame) -> DataFrame:
     """Drop rows with neither rank, then rows where a present rank is not positive."""
-    o, c = F.col("opening_rank"), F.col("closing_rank")
-    return df.where(
-        (o.isNotNull() | c.isNotNull()) & (F.coalesce(o, F.lit(1)) > 0) & (F.coalesce(c, F.lit(1)) > 0)
-    )
+    # least() skips NULLs and is NULL only when both are: one test covers both rules
+    return df.where(F.least("opening_rank", "closing_rank") > 0)
 
 
 def normalise(df: DataFrame) -> DataFrame:
@@ -53,11 +51,12 @@ def normalise(df: DataFrame) -> DataFrame:
 
 
 def first_by_source(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key: the first by ``order``. ``min`` over a struct combines map-side, so a
-    key with a third of all copies costs one row per task, not one huge window."""
+    """One row per key: the first by ``order``. ``min_by`` combines map-side, so a key with a
+    third of all copies costs one row per task, not one huge window. A hash of the key leads
+    the grouping, which lets the sorts behind it compare a number instead of wide text."""
     rest = [c for c in df.columns if c not in keys and c not in order]
     packed = F.struct(*[F.col(f"`{c}`") for c in order], F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest"))
-    best = df.groupBy(*keys).agg(F.min_by(packed, F.struct(*[F.col(f"`{c}`") for c in order])).alias("__first"))
+    best = df.groupBy(F.xxhash64(*[F.col(f"`{k}`") for k in keys]).alias("__key"), *keys).agg(F.min_by(packed, F.struct(*[F.col(f"`{c}`") for c in order])).alias("__first"))
     return best.select(
         *keys, *[F.col(f"__first.`{c}`").alias(c) for c in order],
         *[F.col(f"__first.__rest.`{c}`").alias(c) for c in rest],

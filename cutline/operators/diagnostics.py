@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cutline.functions.keys import null_safe_join
-from cutline.operators.quantiles import N_BORDERS, exact_percentiles
+from cutline.operators.quantiles import counted_values, exact_percentiles, with_range
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -20,15 +20,10 @@ def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """
     group = keys or ["__all"]
     data = df if keys else df.withColumn("__all", F.lit(1))
-    counted = data.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(
-        F.count(F.lit(1)).alias("n_equal"))
-    steps = [i / N_BORDERS for i in range(1, N_BORDERS)]
-    borders = counted.groupBy(*group).agg(F.percentile_approx("__v", steps, 4 * N_BORDERS).alias("__s"))
+    counted = counted_values(data, group, value)
     ranges = (
-        null_safe_join(counted, F.broadcast(borders), group, "inner")
-        .withColumn("__b", F.size(F.filter("__s", lambda s: s < F.col("__v"))))
-        .groupBy(*group, "__b").agg(
-            F.sum("n_equal").alias("__in"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        with_range(counted, group).groupBy(*group, "__b").agg(
+            F.sum("__c").alias("__in"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
         .withColumns({
             "__before": F.sum("__in").over(Window.partitionBy(*group).orderBy("__b")) - F.col("__in"),
             "n": F.sum("__in").over(Window.partitionBy(*group)),
@@ -36,8 +31,9 @@ def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
     placed = null_safe_join(counted, F.broadcast(ranges), group, "inner").where(
         F.col("__v").between(F.col("__lo"), F.col("__hi")))
-    running = F.sum("n_equal").over(Window.partitionBy(*group, "__lo").orderBy("__v"))
-    return placed.withColumn("n_below", F.col("__before") + running - F.col("n_equal")).select(
+    return placed.withColumnRenamed("__c", "n_equal").withColumn(
+        "n_below", F.col("__before") + F.sum("n_equal").over(
+            Window.partitionBy(*group, "__lo").orderBy("__v")) - F.col("n_equal")).select(
         *keys, F.col("__v").alias(value), "n_equal", "n_below", "n")
 
 

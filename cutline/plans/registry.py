@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cutline.session import tune
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -37,7 +39,7 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: fn(tune(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = with_ctes(sql, needs)
         return fn

@@ -36,16 +36,21 @@ def _pick(c: Column, pairs: dict, default=None) -> Column:
     return chain.otherwise(default) if default is not None else chain
 
 
+def _at(index: Column, values: list) -> Column:
+    """values[index] from a constant array: short generated code, unlike a CASE chain."""
+    return F.element_at(F.lit(values), (index + 1).cast("int"))
+
+
 def program_name(p_type: Column) -> Column:
-    return _pick(p_type, PROGRAMS)
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in PROGRAMS.items() for x in kv]), p_type)
 
 
 def institute_columns(k: Column) -> dict[str, Column]:
     return {
         "institute": F.concat(F.lit("Institute "), k.cast("string")),
-        "institute_type": _pick(k % 4, {0: "IIT", 1: "NIT", 2: "IIIT"}, "GFTI"),
+        "institute_type": _at(k % 4, ["IIT", "NIT", "IIIT", "GFTI"]),
         "institute_state": F.concat(F.lit("NATION_"), (k % 25).cast("string")),
-        "quota": _pick(k % 5, {0: "HS", 1: "OS", 2: "STATE"}, "AI"),
+        "quota": _at(k % 5, ["HS", "OS", "STATE", "AI", "AI"]),
     }
 
 
@@ -82,26 +87,30 @@ def observed(spark: SparkSession, sf_dir: str, grain: str = "supplier") -> DataF
 def raw_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Untidy text rows as a published round file has them, one per lineitem row."""
     n, k = F.col("l_linenumber"), F.col("l_suppkey")
+    digits, grouped = F.col("digits"), F.col("grouped")
+
+    def rank(shift: int) -> Column:
+        """One of seven spellings: plain, .0, grouped, P suffix, padded, dashes, 0.01."""
+        style = (n + shift) % 7
+        body = F.when(style == 2, grouped).when(style < 5, digits).otherwise("")
+        return F.concat(_at(style, ["", "", "", "", " ", "", ""]), body, _at(style, ["", ".0", "", "P", " ", "--", "0.01"]))
+
     price = F.floor("l_extendedprice").cast("bigint")
-    digits = price.cast("string")
-    grouped = F.format_number(price, 0)
-    rank = lambda shift: _pick((n + shift) % 7, {
-        0: digits, 1: F.concat(digits, F.lit(".0")), 2: grouped, 3: F.concat(digits, F.lit("P")),
-        4: F.concat(F.lit(" "), digits, F.lit(" ")), 5: F.lit("--")}, F.lit("0.01"))
-    program = program_name(F.col("p_type"))
-    return _lines_with_parts(spark, sf_dir).select(
+    rows = _lines_with_parts(spark, sf_dir).select(
+        "*", price.cast("string").alias("digits"), F.format_number(price, 0).alias("grouped"), program_name(F.col("p_type")).alias("program"))
+    is_long = (F.col("p_type") == "LARGE").cast("int")
+    return rows.select(
         F.year("l_shipdate").cast("bigint").alias("year"), F.quarter("l_shipdate").cast("bigint").alias("round"),
-        F.concat(_pick(k % 4, {
-            0: "Indian Institute of Technology ", 1: "National Institute of Technology ",
-            2: "IIIT "}, "University of Technology "), k.cast("string"), F.when(n == 2, "  ").otherwise("")).alias("Institute"),
-        F.when(n == 5, program).otherwise(F.concat(program, F.when(F.col("p_type") == "LARGE", " (5 Years, Integrated Master)").otherwise(
-            " (4 Years, Bachelor of Technology)"))).alias("Academic Program Name"),
-        _pick(F.pmod(n + k, F.lit(6)), {0: "AI", 1: "HS", 2: "OS", 3: "JK", 4: ""}, "n/a").alias("Quota"),
+        F.concat(_at(k % 4, ["Indian Institute of Technology ", "National Institute of Technology ", "IIIT ", "University of Technology "]),
+                 k.cast("string"), _at(n, ["", "", "  ", "", "", "", "", ""])).alias("Institute"),
+        F.concat("program", _at((n != 5).cast("int") * (is_long + 1), [
+            "", " (4 Years, Bachelor of Technology)", " (5 Years, Integrated Master)"])).alias("Academic Program Name"),
+        _at((n + k) % 6, ["AI", "HS", "OS", "JK", "", "n/a"]).alias("Quota"),
         F.concat(_pick(F.col("l_returnflag"), {"R": "OPEN", "A": "OBC-NCL"}, "SC"),
-                 F.when(F.col("p_size") > 45, " (PwD)").otherwise("")).alias("Seat Type"),
+                 _at((F.col("p_size") > 45).cast("int"), ["", " (PwD)"])).alias("Seat Type"),
         F.when(n == 6, "").when(F.col("l_linestatus") == "F", "Female-only (including Supernumerary)")
         .otherwise("Gender-Neutral").alias("Gender"),
-        rank(F.lit(0)).alias("Opening Rank"), rank(F.lit(3)).alias("Closing Rank"),
+        rank(0).alias("Opening Rank"), rank(3).alias("Closing Rank"),
         F.concat(F.year("l_shipdate"), F.lit("_round_"), F.quarter("l_shipdate"), F.lit(".csv")).alias("source_file"),
         (F.col("l_orderkey") * 8 + n).alias("source_row_id"), F.col("l_partkey").alias("source_seq"),
     )
