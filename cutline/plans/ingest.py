@@ -44,7 +44,7 @@ def _(spark, sf):
 def _(spark, sf):
     from cutline.schemas import REQUIRED_OBSERVED
 
-    return d.observed(spark, sf).select(*REQUIRED_OBSERVED)
+    return d.build_observed(spark, sf).select(*REQUIRED_OBSERVED)
 
 
 @query("F1_parse_rank", "SELECT source_file, source_row_id, source_seq, opening_rank, closing_rank, is_pwd_rank FROM ranked", ("ranked",))

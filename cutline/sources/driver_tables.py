@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cutline.sources.tables import stored
+
 FIRST_YEAR, FINAL_YEAR = 1995, 2001
 YEARS = list(range(FIRST_YEAR, FINAL_YEAR + 1))
 PREDICTION_YEAR = FINAL_YEAR + 1
@@ -61,6 +63,11 @@ def _lines_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observed(spark: SparkSession, sf_dir: str, grain: str = "supplier") -> DataFrame:
+    """The observed table as its readers see it: stored once, partitioned by season."""
+    return stored(spark, f"observed {grain} {sf_dir}", lambda: build_observed(spark, sf_dir, grain), "year")
+
+
+def build_observed(spark: SparkSession, sf_dir: str, grain: str = "supplier") -> DataFrame:
     """Observed cutoffs: one row per (year, outcome key). ``supplier`` grain grows with the
     number of suppliers; ``brand`` grain is a fixed catalogue of 25 institutes."""
     number = F.col("l_suppkey") if grain == "supplier" else F.substring("p_brand", 7, 4).cast("bigint")

@@ -21,6 +21,26 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(tempfile.mkdtemp(prefix="cutline-"), tag)
 
 
+_STORED: dict[tuple[str, str], tuple[str, T.StructType]] = {}
+
+
+def stored(spark: SparkSession, name: str, build, partition_by: str | None = None) -> DataFrame:
+    """A table written once per application to the shared folder and read back from there.
+
+    Derived tables that many queries start from are computed one time; readers get column and
+    partition pruning, and a lost executor costs a re-read instead of a recomputation.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STORED:
+        table = build()
+        path = scratch_folder(spark, "table")
+        writer = table.write.mode("overwrite")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        _STORED[key] = (path, table.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
 def read_master(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """Parquet copy when it can be read, else the CSV copy, both under one explicit schema."""
     from pyspark.errors import AnalysisException
