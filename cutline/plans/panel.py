@@ -23,8 +23,14 @@ def _(spark, sf):
     return rounded(panel.prior_year_statistics(d.observed(spark, sf)).select(*_PRIOR_COLUMNS))
 
 
-@query("W2_J5_past_frequency", f"""SELECT year, {OUTCOME}, CAST(coalesce(sum(1) OVER (PARTITION BY institute ORDER BY year RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS institute_freq,
- CAST(coalesce(sum(1) OVER (PARTITION BY program ORDER BY year RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS program_freq FROM observed""", ("observed",))
+_EARLIER = lambda c: f"""(SELECT a.{c}, a.year, CAST(coalesce(sum(b.n), 0) AS BIGINT) AS n FROM (SELECT {c}, year FROM observed GROUP BY ALL) a
+ LEFT JOIN (SELECT {c}, year, count(*) AS n FROM observed GROUP BY ALL) b ON a.{c} = b.{c} AND b.year < a.year GROUP BY ALL)"""
+
+
+# plain counts of earlier years: a RANGE frame over tied years gave varying sums from run to run
+# in the checking engine
+@query("W2_J5_past_frequency", f"""SELECT o.year, {", ".join("o." + c.strip() for c in OUTCOME.split(","))}, i.n AS institute_freq, p.n AS program_freq FROM observed o
+ JOIN {_EARLIER('institute')} i ON o.institute = i.institute AND o.year = i.year JOIN {_EARLIER('program')} p ON o.program = p.program AND o.year = p.year""", ("observed",))
 def _(spark, sf):
     return panel.past_frequencies(d.observed(spark, sf)).select("year", *OUTCOME_KEY, "institute_freq", "program_freq")
 
