@@ -161,7 +161,7 @@ def test_weighted_fit_and_percentiles(spark):
     assert got["mean"] == pytest.approx(mean) and got["std_dev"] == pytest.approx(sd) and got["status"] == "ok"
     missing = pm.fit_percentiles(hist, cohorts.where("year <> 2023")).first()
     assert missing["status"] == "missing_cohort"
-    flat = hist.where("year <= 2023").withColumn("closing_rank", F.lit(900))
+    flat = hist.where("year <= 2023").withColumn("closing_rank", F.lit(450_000))  # exactly 50 percent
     equal = cohorts.withColumn("total_candidates", F.lit(900_000))
     assert pm.fit_percentiles(flat, equal).first()["status"] == "invalid_std"
 
