@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,14 +43,46 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the session's reliable checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share for intermediate tables: ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where nothing is
-    set (local tests) a fresh temporary folder is used.
+    Where it is unset a temporary folder serves local sessions (tests, bench). Any other master
+    has executors on several machines, so a missing setting is an error rather than a guess.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="cutline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cutline-ckpt-"))
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder; all such paths of an application have one parent."""
+    return f"{shared_folder(spark)}/cutline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete every intermediate table this application wrote to the shared folder."""
+    parent = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_folder(spark)}/cutline-{spark.sparkContext.applicationId}")
+    parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(parent, True)
+
+
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: cuts the lineage, keeps column
+    pruning, and a lost executor costs a re-read only."""
+    path, schema = scratch_folder(df.sparkSession, name), df.schema
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the session's reliable checkpoint folder (see ``shared_folder``)."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,23 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from cutline.session import durable
-
-
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint location; a local one only where none is set."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    tag = f"{name}-{uuid.uuid4().hex[:12]}"
-    if shared:
-        return f"{shared.rstrip('/')}/{tag}"
-    return os.path.join(tempfile.mkdtemp(prefix="cutline-"), tag)
+from cutline.session import durable, scratch_folder
 
 
 _STORED: dict[tuple[str, str], tuple[str, T.StructType]] = {}
