@@ -13,11 +13,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cutline.llm.bitmaps import FILTER_BYTES, bitmaps, cell_of, cells_for, with_flag
+from cutline.llm.graph import join_groups
 from cutline.session import written
 
 BLANKS = r"[\x20\x09-\x0D]+"
-FILTER_BYTES = 64 << 20
-_BLOCK = 32_768  # bits of one bitmap of the bitmap functions
 
 
 def normalised(text: Column) -> Column:
@@ -30,38 +30,19 @@ def digest(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
-def cells_for(rows: int, filter_bytes: int) -> int:
-    return max(_BLOCK, min(1 << (16 * rows).bit_length(), 8 * filter_bytes))
-
-
-def _cells(cells: int) -> list[Column]:
-    return [F.pmod(F.xxhash64("digest", F.lit(seed)), F.lit(cells)) for seed in (1, 2)]
+def _two_cells(cells: int) -> list[Column]:
+    return [cell_of("digest", cells=cells, seed=seed) for seed in (1, 2)]
 
 
 def repeated_cells(keyed: DataFrame, cells: int) -> DataFrame:
-    """(bucket, bits): bitmaps of the cells that two rows or more fall into."""
-    hit = keyed.select(F.explode(F.array_distinct(F.array(*_cells(cells)))).alias("cell"))
-    twice = hit.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.groupBy(F.floor(F.col("cell") / _BLOCK).alias("bucket")).agg(
-        F.call_function("bitmap_construct_agg", F.col("cell") % _BLOCK).alias("bits"))
-
-
-def _set(bits: Column, cell: Column) -> Column:
-    """Is the cell's bit set? A missing bitmap has none."""
-    at = (cell % _BLOCK).cast("int")
-    byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.call_function("bit_get", byte, at % 8) == 1, F.lit(False))
+    """Bitmaps of the cells that two rows or more fall into."""
+    hit = keyed.select(F.explode(F.array_distinct(F.array(*_two_cells(cells)))).alias("cell"))
+    return bitmaps(hit.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
 
 
 def maybe_repeated(keyed: DataFrame, table: DataFrame, cells: int) -> DataFrame:
     """``keyed`` with ``maybe``: other rows fall into both cells of this one."""
-    flag, out = F.lit(True), keyed
-    for i, cell in enumerate(_cells(cells)):
-        side = F.broadcast(table.select(F.col("bucket").alias(f"bucket{i}"), F.col("bits").alias(f"bits{i}")))
-        out = out.withColumn(f"cell{i}", cell)
-        out = out.join(side, F.floor(F.col(f"cell{i}") / _BLOCK) == F.col(f"bucket{i}"), "left")
-        flag = flag & _set(F.col(f"bits{i}"), F.col(f"cell{i}"))
-    return out.select(*keyed.columns, flag.alias("maybe"))
+    return with_flag(keyed, table, _two_cells(cells), "maybe")
 
 
 def _passes(docs: DataFrame, id_column: str, text_column: str, filter_bytes: int) -> tuple[DataFrame, DataFrame, int, DataFrame]:
@@ -81,21 +62,13 @@ def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: st
     else); ``kept`` marks the rows with that id, so fully repeated rows stay marked alike. Null texts equal
     empty ones. Texts of any length are digested whole. Other columns are not read; an empty table gives none.
 
-    Groups that would fill a task by themselves are at most as many as there are shuffle
-    partitions, so their rows meet them by broadcast; all others are joined by digest.
+    Rows of groups that would fill a task by themselves meet them by broadcast (``join_groups``).
     """
-    spark = docs.sparkSession
     keyed, table, cells, groups = _passes(docs, id_column, text_column, filter_bytes)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = (groups.agg(F.sum("n")).first()[0] or 0) // tasks
     tested = maybe_repeated(keyed, table, cells)
-    heavy = F.broadcast(groups.where(F.col("n") > share).select("digest", F.col("keep").alias("big_keep"), F.col("n").alias("big_n")))
-    out = tested.join(heavy, "digest", "left")
-    settled = out.where("not maybe or big_n is not null").select(
-        "id", F.when(F.col("maybe"), F.col("big_keep")).otherwise(F.col("id")).alias("keep"), F.coalesce("big_n", F.lit(1)).alias("n"), "digest")
-    light = out.where("maybe and big_n is null").select("id", "digest").join(
-        groups.where(F.col("n") <= share), "digest").select("id", "keep", "n", "digest")
-    return settled.unionByName(light).select(
+    alone = tested.where("not maybe").select("id", F.col("id").alias("keep"), F.lit(1).cast("bigint").alias("n"), "digest")
+    settled = join_groups(tested.where("maybe").select("id", "digest"), groups, "digest").select("id", "keep", "n", "digest")
+    return alone.unionByName(settled).select(
         F.col("id").alias(id_column), F.col("keep").alias("keep_id"), F.col("n").cast("bigint").alias("group_size"),
         F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.col("digest").alias("text_sha256"))
 

@@ -56,3 +56,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cutline.llm.exact_dedup import duplicate_groups
 
     return duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op7_minhash_near_dedup")
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cutline.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
