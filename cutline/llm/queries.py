@@ -63,3 +63,57 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cutline.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@register("op2_winnowing", r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT item_id, least(13, len(w)) AS size, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (
+  SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, sizes WHERE len(w) >= size)),
+hits AS (SELECT doc_id, i, size, item_id FROM grams JOIN windows USING (size, gram)),
+hit_words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM hits GROUP BY doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(hit_words.n, 0)::BIGINT AS n_hit, coalesce(hit_items.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(hit_words.n, 0) > 0 AND 20 * coalesce(hit_words.n, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+""")
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from cutline.llm.decontamination import contamination, items_digest
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        items_digest("items").alias("items_sha256"), "contaminated")
+
+
+def remainder(spark_id: str, modulus: int):
+    """crc32 of the id as text, modulo ``modulus``."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.col(spark_id).cast("string").cast("binary")) % modulus
+
+
+def labelled_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(text, label) of the rows from which quality may be learned."""
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2).where("quality is not null")
+    labels = labels.selectExpr("doc_id", "cast(quality as double) as label")
+    return docs.where(remainder("doc_id", 4) != 2).select("doc_id", "text").join(labels, "doc_id").select("text", "label")
+
+
+@register("op4_quality_neighbours")
+def op4_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from cutline.llm.quality import quality_scores
+
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_scores(docs.select("doc_id", "text"), labelled_texts(spark, docs, sf_dir))
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
