@@ -117,3 +117,36 @@ def op4_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality_scores(docs.select("doc_id", "text"), labelled_texts(spark, docs, sf_dir))
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@register("op3_preference_pairs", r"""
+WITH last AS (SELECT conv_id, max(turn) AS last_turn, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+sides AS (
+  SELECT c.conv_id AS pair_id, c.turn, c.role, c.text AS chosen,
+         CASE WHEN c.turn = own.last_turn THEN next.answer ELSE c.text END AS rejected
+  FROM conversations c LEFT JOIN last own USING (conv_id) LEFT JOIN last next ON next.conv_id = c.conv_id + 1),
+turns AS (
+  SELECT *, '<|im_start|>' || role || chr(10) AS head,
+         '<|im_start|>' || role || chr(10) || chosen || '<|im_end|>' || chr(10) AS chosen_text,
+         '<|im_start|>' || role || chr(10) || rejected || '<|im_end|>' || chr(10) AS rejected_text,
+         min(CASE WHEN chosen IS DISTINCT FROM rejected THEN turn END) OVER (PARTITION BY pair_id) AS split FROM sides),
+placed AS (
+  SELECT *, split IS NULL OR turn < split AS shared,
+         sum(CASE WHEN turn >= split THEN length(chosen_text) ELSE 0 END) OVER w AS chosen_end,
+         sum(CASE WHEN turn >= split THEN coalesce(length(rejected_text), 0) ELSE 0 END) OVER w AS rejected_end
+  FROM turns WINDOW w AS (PARTITION BY pair_id ORDER BY turn))
+SELECT pair_id, count(*) FILTER (shared) AS n_prompt_turns, count(*) FILTER (NOT shared) AS n_chosen_turns,
+  count(rejected) FILTER (NOT shared) AS n_rejected_turns,
+  coalesce(string_agg(chosen_text, '' ORDER BY turn) FILTER (shared), '') AS prompt,
+  coalesce(string_agg(chosen_text, '' ORDER BY turn) FILTER (NOT shared), '') AS chosen,
+  coalesce(string_agg(rejected_text, '' ORDER BY turn) FILTER (NOT shared), '') AS rejected,
+  coalesce(string_agg((chosen_end - length(chosen_text) + length(head)) || '-' || chosen_end, ',' ORDER BY turn)
+    FILTER (NOT shared AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg((rejected_end - length(rejected_text) + length(head)) || '-' || rejected_end, ',' ORDER BY turn)
+    FILTER (NOT shared AND role = 'assistant' AND rejected IS NOT NULL), '') AS rejected_spans
+FROM placed GROUP BY pair_id
+""")
+def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cutline.llm.preference import preference_examples, with_foreign_answers
+
+    return preference_examples(with_foreign_answers(table(spark, sf_dir, "conversations")))
