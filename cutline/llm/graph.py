@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from cutline.session import written
 
 
+BROADCAST_ROWS = 200_000  # narrow rows, some tens of bytes each
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (a, b).
 
@@ -35,12 +38,15 @@ def components(edges: DataFrame) -> DataFrame:
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str = "n") -> DataFrame:
     """Inner join of ``rows`` with ``groups`` (one row per ``key``, with its number of rows in ``count``).
 
-    Groups with more rows than an even share of a task are fewer than there are shuffle
-    partitions; they are broadcast and their rows stay where they are. The rest is shuffled by key.
-    ``groups`` should be a stored table: it is read more than once.
+    Up to ``BROADCAST_ROWS`` groups, all are broadcast. Beyond, groups with more rows than an even share of
+    a task are fewer than there are shuffle partitions; they are broadcast and their rows stay where they
+    are, and the rest is shuffled by key. ``groups`` should be a stored table: it is read more than once.
     """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = (groups.agg(F.sum(count)).first()[0] or 0) // tasks
+    number, total = groups.agg(F.count(F.lit(1)), F.sum(count)).first()
+    if number <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), key)
+    share = total // tasks
     extra = [c for c in groups.columns if c != key]
     heavy = F.broadcast(groups.where(F.col(count) > share).select(F.col(key).alias("__heavy"), F.struct(*extra).alias("__found")))
     placed = rows.join(heavy, F.col(key) == F.col("__heavy"), "left")

@@ -150,3 +150,10 @@ def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cutline.llm.preference import preference_examples, with_foreign_answers
 
     return preference_examples(with_foreign_answers(table(spark, sf_dir, "conversations")))
+
+
+@register("op1_fuzzy_lines")
+def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cutline.llm.line_dedup import repeated_lines
+
+    return repeated_lines(table(spark, sf_dir, "documents"), percent=80)
