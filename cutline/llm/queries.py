@@ -157,3 +157,10 @@ def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cutline.llm.line_dedup import repeated_lines
 
     return repeated_lines(table(spark, sf_dir, "documents"), percent=80)
+
+
+@register("op8_compact_windows")
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cutline.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"), words=50, percent=80)
