@@ -164,3 +164,13 @@ def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cutline.llm.passages import repeated_passages
 
     return repeated_passages(table(spark, sf_dir, "documents"), words=50, percent=80)
+
+
+@register("op6_pitman_yor")
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from cutline.llm.language_model import language_model_scores
+
+    scored = language_model_scores(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
