@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_column: s
     Two documents are linked when ``100 * intersection >= percent * union`` holds for their sets of
     ``k``-word shingles (words between blanks, A-Z lower-cased). ``component_id`` is the smallest id
     reachable by links. Null, empty and blank texts have an empty set and no link. Repeated rows have
-    equal sets and share a component, whatever their number. Rows with a null id are a document of
+    equal sets and share a component, whatever their number; rows that share an id are one node. Rows with a null id are a document of
     their own each and are not linked. Other columns are not read; an empty table gives none.
     """
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
