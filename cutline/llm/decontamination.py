@@ -115,6 +115,7 @@ def _scan(texts: DataFrame, items: DataFrame, window: int, gram: int) -> DataFra
     """(id, n_words, spans, items) by an index of all items in every task."""
     kind, item_kind = (t.schema["id"].dataType.simpleString() for t in (texts, items))
     known = items.toArrow()  # within INDEX_BYTES, checked by the caller
+    id_type = known.column("id").type
     payload = texts.sparkSession.sparkContext.broadcast((known.column("id").to_pylist(), known.column("text").to_pylist()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +130,7 @@ def _scan(texts: DataFrame, items: DataFrame, window: int, gram: int) -> DataFra
             n = chunk.num_rows
             yield pa.RecordBatch.from_arrays([
                 chunk.column("id"), pa.array(np.diff(words.first), pa.int64()), pa.array([_union(spans[i]) for i in range(n)], pa.int64()),
-                pa.array([[ids[j] for j in sorted(hits[i])] for i in range(n)])
-                if any(hits.values()) else pa.array([[]] * n, pa.list_(pa.null()))], ["id", "n_words", "n_hit", "items"])
+                pa.array([[ids[j] for j in sorted(hits[i])] for i in range(n)], pa.list_(id_type))], ["id", "n_words", "n_hit", "items"])
 
     return texts.mapInArrow(scan, f"id {kind}, n_words bigint, n_hit bigint, items array<{item_kind}>")
 
