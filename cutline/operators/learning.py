@@ -33,7 +33,6 @@ RIDGE_ALPHA = 10.0
 BOOSTING = {"maxIter": 120, "stepSize": 0.06, "maxDepth": 5, "minInstancesPerNode": 30, "seed": 42}
 FOREST = {"numTrees": 200, "maxDepth": 20, "minInstancesPerNode": 5, "seed": 42}
 RARE_BELOW = 2
-NORMAL_WIDTH = 4096
 SEED = 42
 
 
@@ -86,7 +85,11 @@ class Design:
             out = self.encoder.transform(out)
             names += [f"__o_{f}" for f in self.categorical]
         else:
-            names += [f"__i_{f}" for f in self.categorical]
+            # plain ordinal numbers (unseen: -1) instead of nominal codes, which bound the number of levels
+            for f, labels in zip(self.categorical, self.indexer.labelsArray):
+                code = F.col(f"__i_{f}").cast("double")
+                out = out.withColumn(f"__k_{f}", F.when(code >= len(labels), F.lit(-1.0)).otherwise(code))
+            names += [f"__k_{f}" for f in self.categorical]
         if self.kept is None:
             scored = VectorAssembler(inputCols=names, outputCol="x").transform(out)
         else:
@@ -164,19 +167,17 @@ class Forecaster:
 def fit_ridge(train: DataFrame, features: list[str], alpha: float = RIDGE_ALPHA) -> Forecaster:
     """L2 linear model with the penalty alpha of the sum-of-squares form.
 
-    Up to NORMAL_WIDTH columns the moments are summed in one pass and solved exactly; wider
-    designs iterate. Spark averages the loss and divides the penalty by the label's deviation
-    (population form in the one-pass solver, sample form in the iterative one).
+    The iterative solver is used at every width. Spark averages the loss and divides the penalty
+    by the label's sample deviation.
     """
     design = fit_design(train, features)
     design.drop_constant(design.apply(train))
     rows = design.apply(train).select("x", F.col(TARGET).cast("double").alias("label")).persist()
     try:
-        n, pop, samp = rows.agg(F.count(F.lit(1)), F.stddev_pop("label"), F.stddev_samp("label")).first()
-        exact = design.width() <= NORMAL_WIDTH
+        n, spread = rows.agg(F.count(F.lit(1)), F.stddev_samp("label")).first()
         model = LinearRegression(
-            featuresCol="x", elasticNetParam=0.0, standardization=False, solver="normal" if exact else "l-bfgs",
-            regParam=alpha * (pop if exact else samp) / n, maxIter=500, tol=1e-9).fit(rows)
+            featuresCol="x", elasticNetParam=0.0, standardization=False, solver="l-bfgs",
+            regParam=alpha * spread / n, maxIter=500, tol=1e-9).fit(rows)
     finally:
         rows.unpersist()
     return Forecaster(design, model)
@@ -345,15 +346,14 @@ def importance_table(spark, forecaster: Forecaster) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, value double, magnitude double")
 
 
-def permutation_importance(forecaster: Forecaster, rows: DataFrame, id_columns: list[str], repeats: int = 5, block_rows: int = 50_000) -> DataFrame:
+def permutation_importance(forecaster: Forecaster, rows: DataFrame, id_columns: list[str], repeats: int = 5, blocks: int = 64) -> DataFrame:
     """Mean and deviation of the MAE increase when one feature's values change rows.
 
-    Values trade places inside blocks of rows drawn by hash, so no global ordering exists;
-    every (feature, repeat) copy is scored in one pass.
+    Values trade places inside ``blocks`` sets of rows drawn by hash, so no global ordering exists; every
+    (feature, repeat) copy is scored in one pass. The number of blocks is an argument and does not follow
+    the table: raise it where a share of the rows is too much for one task.
     """
     features = forecaster.design.features
-    n = rows.count()
-    blocks = max(1, n // block_rows)
     key = F.xxhash64(*id_columns)
     base = rows.select(*features, F.col(TARGET).cast("double").alias("__y"), key.alias("__key"))
     base = base.withColumn("__block", F.pmod(F.xxhash64("__key", F.lit(7)), F.lit(blocks)))

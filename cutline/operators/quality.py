@@ -138,7 +138,7 @@ def universe_contract(universe: DataFrame, calibration: DataFrame, calibration_y
         F.count_if(c("year").isNull() | (c("year") != prediction_year)).alias("wrong_prediction_year"))
     default = c("institute_type_str") == "__default__"
     k = calibration.agg(
-        F.count_if(~(c("abs_residual_quantile") > 0) | c("abs_residual_quantile").isNull()).alias("bad_quantile"),
+        F.count_if(~F.coalesce((c("abs_residual_quantile") > 0) & (c("abs_residual_quantile") < float("inf")), F.lit(False))).alias("bad_quantile"),
         F.count_if(c("count") < 1).alias("bad_count"),
         F.count_if(~default & ~c("institute_type_str").isin(INSTITUTE_TYPES)).alias("unknown_type"),
         F.count_if(~default & ~c("round").between(1, 7)).alias("unknown_round"),

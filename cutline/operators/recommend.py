@@ -167,11 +167,11 @@ def quota_and_backfill(ordered: DataFrame) -> DataFrame:
         "__fill": F.sum((~F.col("__head")).cast("int")).over(mine.orderBy("sort_position")),
     })
     filled = ~F.col("__head") & (F.col("__fill") <= top_n - F.col("__n_head"))
-    million = F.lit(1_000_000)
     return counted.withColumns({
         "selected": F.col("__head") | filled,
-        "pick_order": F.when(F.col("__head"), group * million + F.col("sort_position"))
-        .otherwise(F.lit(len(BUCKET_QUOTAS)) * million + F.col("sort_position")),
+        "pick_order": F.struct(
+            F.when(F.col("__head"), group).otherwise(F.lit(len(BUCKET_QUOTAS))).cast("int").alias("group"),
+            F.col("sort_position").cast("bigint").alias("at")),
     }).drop("__head", "__n_head", "__fill")
 
 
@@ -197,7 +197,8 @@ def _swap_in(pool: DataFrame, column: str, value: str, step: int, wanted: Column
     goes = swap & picked & (F.col("pick_order") == F.col("__last"))
     return marked.withColumns({
         "selected": F.when(comes, True).when(goes, False).otherwise(picked),
-        "pick_order": F.when(comes, F.lit(10_000_000 + step)).otherwise(F.col("pick_order")),
+        "pick_order": F.when(comes, F.struct(
+            F.lit(len(BUCKET_QUOTAS) + 1).alias("group"), F.lit(step).cast("bigint").alias("at"))).otherwise(F.col("pick_order")),
     }).drop("__have", "__best", "__n", "__peers", "__last")
 
 

@@ -19,7 +19,7 @@ EXCERPT_CHARS, QUESTION_CHARS, CONTEXT_CHARS, SOURCE_CHARS = 8_000, 2_000, 20_00
 NO_DOCUMENTS = '<no_retrieved_documents reason="empty_vector_store" />'
 NO_CONTEXT = "No ML recommendation context supplied."
 
-QUERY_BLOCK = 4_096
+QUERY_BLOCK, VECTOR_SLICE = 4_096, 50_000
 
 
 def check_chunking(size: int, overlap: int) -> None:
@@ -38,35 +38,51 @@ def stride_chunks(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = C
     ).withColumn("chunk_text", F.substring(F.col("text"), F.col("__at"), F.lit(size))).drop("text", "__at")
 
 
-def _cut(piece: str, size: int, level: int) -> list[str]:
-    """Pieces of at most ``size`` characters, broken at the coarsest separator that helps;
-    separators stay at the front of the piece they precede."""
-    if len(piece) <= size:
-        return [piece]
-    mark = SEPARATORS[level]
-    if mark == "":
-        return [piece[i:i + size] for i in range(0, len(piece), size)]
-    if mark not in piece:
-        return _cut(piece, size, level + 1)
-    first, *others = piece.split(mark)
-    parts = ([first] if first else []) + [mark + p for p in others]
-    return [small for p in parts for small in _cut(p, size, level + 1)]
+def _windows(body: str, size: int, overlap: int) -> list[str]:
+    """Text without a separator: windows of ``size`` that repeat ``overlap`` characters."""
+    last = max(0, -(-(len(body) - size) // (size - overlap)))
+    return [body[i * (size - overlap): i * (size - overlap) + size] for i in range(last + 1)]
 
 
-def split_text(body: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[str]:
+def _joined(pieces: list[str], size: int, overlap: int) -> list[str]:
     """Neighbouring pieces joined up to ``size``; a chunk starts with the trailing pieces of the
-    one before it, as long as they fit in ``overlap``."""
+    one before it, as long as they fit in ``overlap`` and leave room for the next piece."""
     chunks, current, length = [], [], 0
-    for piece in _cut(body, size, 0):
+    for piece in pieces:
         if current and length + len(piece) > size:
             chunks.append("".join(current))
             while current and (length > overlap or length + len(piece) > size):
                 length -= len(current.pop(0))
         current.append(piece)
         length += len(piece)
-    if current:
-        chunks.append("".join(current))
-    return [c.strip() for c in chunks if c.strip()]
+    return [*chunks, "".join(current)] if current else chunks
+
+
+def _pieces(body: str, mark: str) -> list[str]:
+    """The body cut at ``mark``, which stays at the front of the piece it precedes."""
+    first, *others = body.split(mark)
+    return ([first] if first else []) + [mark + p for p in others]
+
+
+def _split(body: str, size: int, overlap: int, marks: list[str]) -> list[str]:
+    """Cut at the coarsest separator the body has. Pieces shorter than ``size`` are joined among
+    themselves; a longer one ends what was gathered and is cut at the finer separators."""
+    at = next(i for i, m in enumerate(marks) if m in body)
+    if marks[at] == "":
+        return _windows(body, size, overlap)
+    chunks, short = [], []
+    for piece in _pieces(body, marks[at]):
+        if len(piece) < size:
+            short.append(piece)
+            continue
+        chunks += _joined(short, size, overlap) + _split(piece, size, overlap, marks[at + 1:])
+        short = []
+    return chunks + _joined(short, size, overlap)
+
+
+def split_text(body: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[str]:
+    """Chunks of at most ``size`` characters, trimmed; blank ones are left out."""
+    return [c.strip() for c in _split(body, size, overlap, SEPARATORS) if c.strip()] if body else []
 
 
 def boundary_chunks(documents: DataFrame, id_column: str = "doc_id", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -109,54 +125,45 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_column
             vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """Exact top-k by squared L2 distance: query_id, id, distance, rank.
 
-    Queries travel, vectors do not: blocks of at most QUERY_BLOCK counted queries are sent to
-    every task, each Arrow batch of vectors keeps only its k best per query, and the final
-    top-k merges those. Neither pairs nor a group per query are ever built. More queries than
-    one block only means more passes over the vectors.
+    Queries fall into blocks of about QUERY_BLOCK rows and vectors into slices of about VECTOR_SLICE,
+    both by hash; each (block, slice) meets in one task as one matrix product that
+    keeps the k best of every query, and those are merged per query. Nothing passes the driver. Exact search
+    stays |queries| x |vectors| distances: for large query tables choose ``approximate_nearest``.
     """
     if not 1 <= k <= TOP_K_MAX:
         raise ValueError(f"k must be between 1 and {TOP_K_MAX}")
-    spark = vectors.sparkSession
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    id_type = vectors.schema[id_column].dataType
-    q_type = queries.schema[query_id].dataType
+    id_type, q_type = vectors.schema[id_column].dataType, queries.schema[query_id].dataType
     schema = T.StructType([T.StructField(query_id, q_type), T.StructField(id_column, id_type), T.StructField("distance", T.DoubleType())])
-    parts = []
-    for block in range(n_blocks):
-        mine = queries.where(F.pmod(F.xxhash64(query_id), F.lit(n_blocks)) == block) if n_blocks > 1 else queries
-        rows = mine.select(query_id, query_vector).where(F.col(query_vector).isNotNull()).collect()
-        if not rows:
-            continue
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
-            for batch in batches:
-                if batch.empty:
-                    continue
-                block_vectors = np.array(batch[vector].tolist(), dtype=np.float64)
-                names = batch[id_column].to_numpy()
-                out = []
-                for q, target in zip(ids, matrix):
-                    d = ((block_vectors - target) ** 2).sum(axis=1)
-                    if len(d) > k:
-                        # ties at the k-th distance stay, the final order resolves them by id
-                        keep = d <= np.partition(d, k - 1)[k - 1]
-                        best = np.flatnonzero(keep)
-                        best = best[np.lexsort((names[best], d[best]))][:k]
-                    else:
-                        best = np.arange(len(d))
-                    out.append(pd.DataFrame({query_id: q, id_column: names[best], "distance": d[best]}))
-                yield pd.concat(out, ignore_index=True)
-
-        parts.append(vectors.select(id_column, vector).where(F.col(vector).isNotNull()).mapInPandas(run, schema))
-    if not parts:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    merged = parts[0]
-    for extra in parts[1:]:
-        merged = merged.unionByName(extra)
-    place = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_column))
-    return merged.withColumn("rank", place).where(F.col("rank") <= k)
+    queries = queries.where(F.col(query_vector).isNotNull())
+    vectors = vectors.where(F.col(vector).isNotNull())
+    blocks, slices = (max(1, -(-t.count() // n)) for t, n in ((queries, QUERY_BLOCK), (vectors, VECTOR_SLICE)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = queries.select(F.col(query_id).alias("__q"), F.col(query_vector).alias("__x"), place(query_id, blocks).alias("__block"),
+                          F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("__slice"))
+    right = vectors.select(F.col(id_column).alias("__v"), F.col(vector).alias("__y"), place(id_column, slices).alias("__part"),
+                           F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__group"))
+
+    def best(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or stored.empty:
+            return pd.DataFrame({query_id: [], id_column: [], "distance": []})
+        x, y = (np.array(t.tolist(), dtype=np.float64) for t in (asked["__x"], stored["__y"]))
+        ids, names, out = asked["__q"].to_numpy(), stored["__v"].to_numpy(), []
+        square = (y ** 2).sum(axis=1)
+        for a in range(0, len(x), 256):
+            # the product ranks; the few that can be among the k best are measured again exactly
+            rough = square - 2 * (x[a: a + 256] @ y.T)
+            slack = 1e-9 * (1 + square.max() + (x[a: a + 256] ** 2).sum(axis=1))
+            bound = np.partition(rough, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1] + slack
+            for i, near in enumerate(rough <= bound[:, None]):
+                near = np.flatnonzero(near)
+                d = ((y[near] - x[a + i]) ** 2).sum(axis=1)
+                near = near[order := np.lexsort((names[near], d))[:k]]
+                out.append(pd.DataFrame({query_id: ids[a + i], id_column: names[near], "distance": d[order]}))
+        return pd.concat(out, ignore_index=True)
+
+    merged = left.groupBy("__block", "__slice").cogroup(right.groupBy("__group", "__part")).applyInPandas(best, schema)
+    rank = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_column))
+    return merged.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def approximate_nearest(vectors: DataFrame, queries: DataFrame, threshold: float, k: int = TOP_K,

@@ -66,15 +66,15 @@ def _(spark, sf):
     return rounded(_volatility(spark, sf))
 
 
-@query("K4_most_volatile", f"SELECT institute, program, category, gender, quota, is_pwd, round(cv, 6) AS cv FROM ({_VOL}) ORDER BY cv DESC, institute, program, category, gender, is_pwd LIMIT 10", ("observed",))
+@query("K4_most_volatile", f"SELECT institute, program, category, gender, quota, is_pwd, round(cv, 6) AS cv FROM ({_VOL}) ORDER BY cv DESC, institute, program, category, gender, quota, is_pwd LIMIT 10", ("observed",))
 def _(spark, sf):
-    top = _volatility(spark, sf).orderBy(F.col("cv").desc(), "institute", "program", "category", "gender", "is_pwd").limit(10)
+    top = _volatility(spark, sf).orderBy(F.col("cv").desc(), "institute", "program", "category", "gender", "quota", "is_pwd").limit(10)
     return rounded(top.select("institute", "program", "category", "gender", "quota", "is_pwd", "cv"))
 
 
-@query("K4_most_stable", f"SELECT institute, program, category, gender, quota, is_pwd, round(cv, 6) AS cv FROM ({_VOL}) ORDER BY cv, institute, program, category, gender, is_pwd LIMIT 10", ("observed",))
+@query("K4_most_stable", f"SELECT institute, program, category, gender, quota, is_pwd, round(cv, 6) AS cv FROM ({_VOL}) ORDER BY cv, institute, program, category, gender, quota, is_pwd LIMIT 10", ("observed",))
 def _(spark, sf):
-    top = _volatility(spark, sf).orderBy("cv", "institute", "program", "category", "gender", "is_pwd").limit(10)
+    top = _volatility(spark, sf).orderBy("cv", "institute", "program", "category", "gender", "quota", "is_pwd").limit(10)
     return rounded(top.select("institute", "program", "category", "gender", "quota", "is_pwd", "cv"))
 
 

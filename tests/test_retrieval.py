@@ -17,6 +17,17 @@ def test_split_text_limits_and_overlap():
         rt.check_chunking(64, 64)
 
 
+def test_split_text_by_level():
+    # no separator: windows with overlap
+    assert [len(c) for c in rt.split_text("x" * 1000, 300, 50)] == [300, 300, 300, 250]
+    # a short paragraph is not glued to the head of a long one
+    short, long = "a" * 100, " ".join(["bcde"] * 120)
+    chunks = rt.split_text(f"{short}\n\n{long}", 300, 50)
+    assert chunks[0] == short and all(c.startswith("bcde") and len(c) <= 300 for c in chunks[1:])
+    # trailing pieces of a chunk open the next one
+    assert rt.split_text("aaaa bbbb cccc dddd", 10, 5) == ["aaaa bbbb", "bbbb cccc", "cccc dddd"]
+
+
 def test_stride_chunks_cover_text(spark):
     body = "".join(chr(97 + i % 26) for i in range(1500))
     rows = rt.stride_chunks(spark.createDataFrame([(1, body), (2, "")], "doc_id int, text string")).orderBy("chunk_index").collect()
@@ -27,6 +38,7 @@ def test_stride_chunks_cover_text(spark):
 @pytest.mark.parametrize("block", [4096, 3])
 def test_nearest_is_exact(spark, monkeypatch, block):
     monkeypatch.setattr(rt, "QUERY_BLOCK", block)
+    monkeypatch.setattr(rt, "VECTOR_SLICE", 12 * block)
     g = np.random.default_rng(0)
     v, q = g.integers(0, 4, (400, 5)).astype(float), g.integers(0, 4, (7, 5)).astype(float)
     vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>").repartition(5)
