@@ -152,9 +152,10 @@ def quality_scores(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, d
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "__text", 1 << 19):
-            scores = shared.value.score(chunk.column("__text"), neighbours, sharpness)
-            yield pa.RecordBatch.from_arrays([*chunk.columns[:-1], pa.array(scores, pa.float64())], [*chunk.schema.names[:-1], name])
+        for chunk in chunks(batches, size=1 << 19):
+            scores = shared.value.score(chunk.column("text"), neighbours, sharpness)
+            yield pa.RecordBatch.from_arrays([chunk.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
 
-    schema = docs.select(*kept).withColumn(name, F.lit(0.5)).schema
-    return docs.select(*kept, F.col(text_column).alias("__text")).mapInArrow(score, schema)
+    rows = docs.select(F.struct(*(F.col(c) for c in kept)).alias("row"), F.col(text_column).alias("text"))
+    schema = rows.select("row", F.lit(0.5).alias("score")).schema
+    return rows.mapInArrow(score, schema).select("row.*", F.col("score").alias(name))
