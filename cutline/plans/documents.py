@@ -74,6 +74,17 @@ def _(spark, sf):
     return rounded(rt.approximate_nearest(d.read(spark, sf, "embeddings"), d.vector_queries(spark, sf), threshold=1.2))
 
 
+@query("R3_approximate_recall", "SELECT query_id, true AS distances_exact, true AS found_most FROM centroids", ("centroids",))
+def _(spark, sf):
+    """Hashed candidates against the exact neighbours: same distances, and at least four of the five nearest."""
+    near = rt.approximate_nearest(d.read(spark, sf, "embeddings"), d.vector_queries(spark, sf), threshold=1.2)
+    exact = _hits(spark, sf).select("query_id", "vec_id", F.col("distance").alias("exact"))
+    met = exact.join(near.select("query_id", "vec_id", "distance"), ["query_id", "vec_id"], "left")
+    return met.groupBy("query_id").agg(
+        F.bool_and(F.coalesce(F.abs(F.col("distance") - F.col("exact")) < 1e-6, F.lit(True))).alias("distances_exact"),
+        (F.count("distance") >= 4).alias("found_most"))
+
+
 cte("vector_chunks", """SELECT doc_id AS vec_id, source, 1 + chunk_index // 4 AS page, chunk_index, chunk_text FROM (
  SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM chunks) WHERE chunk_index = doc_id % n""", ("chunks",))
 

@@ -1,4 +1,5 @@
-"""Fitted models: results depend on an optimiser, so these are checked by rows and by tests.
+"""Fitted models: figures depend on an optimiser, so SQL checks what must hold whatever it finds
+(cohorts, finite errors, exact policies, probability ranges), and tests check the optima.
 
 All fits run on the brand-grain catalogue, whose categories are bounded.
 """
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cutline.functions import scoring
 from cutline.operators import diagnostics as dg, evaluation as ev, learning as ml, panel
-from cutline.plans.registry import query, rounded
+from cutline.plans.registry import as_long, query, rounded
 from cutline.schemas import OUTCOME_KEY, PRE_SEASON_FEATURES
 from cutline.session import durable
 from cutline.sources import driver_tables as d
@@ -100,3 +101,45 @@ def _(spark, sf):
     train, valid, _ = _splits(spark, sf)
     model = ml.fit_ridge(train, PRE_SEASON_FEATURES)
     return rounded(ml.permutation_importance(model, valid, ["year", *OUTCOME_KEY]), 4)
+
+
+@query("L3_L10_ridge_origins", """SELECT origin, count(*) AS n, true AS finite FROM errors_b WHERE model = 'naive_last_year' AND origin >= 1999 GROUP BY origin""", ("errors_b",))
+def _(spark, sf):
+    """Ridge at every evaluation season: its cohort is that of the baselines."""
+    rows = ml.learned_folds(_table(spark, sf), d.EVALUATION_YEARS, {"ridge": ml.fit_ridge})
+    metrics = ev.regression_metrics(rows, ["origin"])
+    return metrics.select("origin", as_long(F.col("n")).alias("n"), (F.abs("mae") + F.abs("rmse") < float("inf")).alias("finite"))
+
+
+@query("L7_refit_cohort", "SELECT count(*) AS n, true AS finite FROM observed_b WHERE year = 2001", ("observed_b",))
+def _(spark, sf):
+    out = ml.refit_and_test(*_splits(spark, sf), PRE_SEASON_FEATURES, ml.fit_ridge)
+    return out.select(as_long(F.col("n")).alias("n"), (F.abs("mae") + F.abs("rmse") < float("inf")).alias("finite"))
+
+
+@query("L8_probability_range", "SELECT count(*) AS n, true AS in_range, true AS agrees FROM observed_b WHERE year = 2001", ("observed_b",))
+def _(spark, sf):
+    train, _, test = _labelled(spark, sf)
+    scored = ml.classify(ml.fit_classifier(train, PRE_SEASON_FEATURES, "logistic"), test)
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"),
+                      F.bool_and((F.col("score") > 0.5) == (F.col("predicted") == 1)).alias("agrees"))
+
+
+@query("L9_importance_sum", "SELECT 'random_forest' AS model, true AS sums_to_one, true AS non_negative, count(DISTINCT institute) > 0 AS fitted FROM observed_b", ("observed_b",))
+def _(spark, sf):
+    train, _, _ = _splits(spark, sf)
+    table = ml.importance_table(spark, _quick_forest(train, PRE_SEASON_FEATURES))
+    return table.agg(F.lit("random_forest").alias("model"), (F.abs(F.sum("value") - 1) < 1e-9).alias("sums_to_one"),
+                     (F.min("value") >= 0).alias("non_negative"), (F.count(F.lit(1)) > 0).alias("fitted"))
+
+
+@query("L12_ablation_policies", """SELECT variant, policy_compliant, copy_of_full, n FROM (VALUES ('ridge_full_pre_counselling', true, true), ('ridge_without_historical_statistics', true, false),
+ ('ridge_without_frequency_encodings', true, false), ('legacy_same_round_opening_diagnostic', false, false), ('ridge_without_opening_rank_features', true, true), ('ridge_without_previous_round_features', true, true))
+ v(variant, policy_compliant, copy_of_full), LATERAL (SELECT CASE WHEN policy_compliant THEN (SELECT count(*) FROM errors_b WHERE model = 'naive_last_year' AND origin = 2001) ELSE (SELECT count(*) FROM observed_b WHERE year = 2001) END AS n)""", ("errors_b", "observed_b"))
+def _(spark, sf):
+    """The leaky variant alone breaks the policy and sees every observed row; excluded features change nothing."""
+    rows = ml.ablations(_table(spark, sf), d.FINAL_YEAR)
+    full = rows.where(F.col("variant") == "ridge_full_pre_counselling").select(F.col("mae").alias("full_mae"), F.col("rmse").alias("full_rmse"))
+    return rows.join(F.broadcast(full), how="inner").select(
+        "variant", "policy_compliant", ((F.col("mae") == F.col("full_mae")) & (F.col("rmse") == F.col("full_rmse"))).alias("copy_of_full"),
+        as_long(F.col("n")).alias("n"))
