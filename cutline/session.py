@@ -8,6 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,18 @@ def tune(spark: SparkSession) -> SparkSession:
     """
     if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return importable(spark)
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers of local sessions import this package wherever the driver was started.
+    A cluster gets the package with ``--py-files`` or installed, as any other."""
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        root = str(Path(__file__).resolve().parents[1])
+        paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            context.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
 
 
