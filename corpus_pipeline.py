@@ -14,8 +14,8 @@ from cutline.llm.exact_dedup import without_duplicates
 from cutline.llm.near_dedup import near_duplicates
 from cutline.llm.packing import packed_pieces
 from cutline.llm.quality import quality_scores
-from cutline.llm.queries import labelled_texts, table, vocabulary
-from cutline.session import written
+from cutline.llm.queries import quality_labels, table, vocabulary
+from cutline.session import importable, written
 
 #: documents whose score for label 1 is below this are rejected, as in the registered quality query
 QUALITY = 0.7
@@ -23,7 +23,7 @@ QUALITY = 0.7
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality vote does not reject. Null and empty texts are judged like others."""
-    scored = quality_scores(docs, labelled_texts(spark, table(spark, sf_dir, "documents"), sf_dir), name="__quality")
+    scored = quality_scores(docs, table(spark, sf_dir, "documents"), quality_labels(spark, sf_dir), name="__quality")
     return scored.where(F.col("__quality") >= QUALITY).drop("__quality")
 
 
@@ -78,7 +78,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(importable(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage_{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
