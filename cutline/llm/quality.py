@@ -95,25 +95,28 @@ def _summed(table: DataFrame, task: object, shape: tuple[int, ...]) -> np.ndarra
     return sum((np.frombuffer(bytes(r[0]), np.float64) for r in parts), np.zeros(int(np.prod(shape)))).reshape(shape)
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS) -> Neighbours | None:
-    """Fit on (text, label) rows, at most ``sample`` of them; None without rows.
+def fit(source: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS, id_column: str = "doc_id",
+        text_column: str = "text") -> Neighbours | None:
+    """Fit on the rows of ``source`` (id, text) that ``labels`` (id, label) names; None without any.
 
-    The rows with the smallest text hashes are taken, so the choice depends on nothing but texts.
+    The ``sample`` different texts with the smallest hashes are taken, so the choice depends on nothing but
+    texts. Only ids and hashes are joined with the labels; the few chosen ids meet the texts by broadcast.
     """
-    rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("double").alias("label")).withColumn("h", F.xxhash64("text"))
-    limit = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if limit is None:
+    own = labels.where("label is not null").groupBy(F.col(id_column).alias("id")).agg(F.avg("label").alias("label"))
+    hashed = source.select(F.col(id_column).alias("id"), F.xxhash64(F.coalesce(text_column, F.lit(""))).alias("h"))
+    rows = hashed.join(own, "id").groupBy("h").agg(F.min("id").alias("id"), F.avg("label").alias("label"))
+    chosen = written(rows.orderBy("h").limit(sample).select("id", "label"), "chosen")
+    if chosen.isEmpty():
         return None
-    chosen = rows.where(F.col("h") <= limit).repartition(8)
+    texts = source.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).repartition(8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             rows = features(chunk.column("text")).astype(np.float16)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), chunk.column("label")], ["counts", "label"])
 
-    # texts of equal hash beyond the bound are equal texts: one row of each goes on
-    chosen = chosen.groupBy("h").agg(F.first("text").alias("text"), F.avg("label").alias("label"))
-    table = written(chosen.select("text", "label").mapInArrow(count, "counts binary, label double"), "sample")
+    table = written(texts.select("text", "label").mapInArrow(count, "counts binary, label double"), "sample")
     n, width = table.count(), SHAPES + WORDS
     idf = np.log((1 + n) / (1 + _summed(table, lambda x: (x > 0).sum(axis=0), (width,)))).astype(np.float32) + np.float32(0.1)
     basis = np.random.default_rng(0).standard_normal((width, dimensions + 16)).astype(np.float32)
@@ -136,16 +139,18 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS)
     return Neighbours(idf, top, vectors, np.array(placed.column("label").to_pylist()))
 
 
-def quality_scores(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS,
-                   sharpness: float = SHARPNESS, text_column: str = "text", name: str = "score") -> DataFrame:
+def quality_scores(docs: DataFrame, source: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS,
+                   neighbours: int = NEIGHBOURS, sharpness: float = SHARPNESS, id_column: str = "doc_id", text_column: str = "text",
+                   name: str = "score") -> DataFrame:
     """All columns of ``docs`` and ``score``: 0 to 1, higher where label 1 is likelier.
 
-    ``labelled`` has columns ``text`` and ``label`` (0 or 1; null labels do not count). The score depends on the
-    text alone. Null texts score as empty ones; an empty text has a vector of its own and is
-    scored like any other; equal texts score alike; without labelled rows every score is 0.5. A column of ``docs``
-    named as the score is replaced. An empty table gives an empty table.
+    The model learns from ``source`` (id, text) and ``labels`` (id, ``label`` 0 or 1; null labels do not count,
+    several labels of one text are averaged). The score depends on the text alone. Null texts score as
+    empty ones; an empty text has a vector of its own and is scored like any other; equal texts score alike;
+    without labelled rows every score is 0.5. A column of ``docs`` named as the score is replaced. An empty table
+    gives an empty table.
     """
-    model = fit(labelled.where("label is not null"), sample, dimensions)
+    model = fit(source, labels, sample, dimensions, id_column, text_column)
     kept = [c for c in docs.columns if c != name]
     if model is None:
         return docs.select(*kept, F.lit(0.5).alias(name))

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cutline.session import importable
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def register(name: str, oracle: str | None = None) -> Callable:
     def add(query: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[name] = query
+        QUERIES[name] = lambda spark, sf_dir: query(importable(spark), sf_dir)
         if oracle:
             ORACLES[name] = oracle
         return query
@@ -101,11 +103,12 @@ def remainder(spark_id: str, modulus: int):
     return F.crc32(F.col(spark_id).cast("string").cast("binary")) % modulus
 
 
-def labelled_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(text, label) of the rows from which quality may be learned."""
-    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2).where("quality is not null")
-    labels = labels.selectExpr("doc_id", "cast(quality as double) as label")
-    return docs.where(remainder("doc_id", 4) != 2).select("doc_id", "text").join(labels, "doc_id").select("text", "label")
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, label) of the rows from which quality may be learned."""
+    from pyspark.sql import functions as F
+
+    return table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2).select(
+        "doc_id", F.col("quality").cast("double").alias("label"))
 
 
 @register("op4_quality_neighbours")
@@ -115,7 +118,7 @@ def op4_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cutline.llm.quality import quality_scores
 
     docs = table(spark, sf_dir, "documents")
-    scored = quality_scores(docs.select("doc_id", "text"), labelled_texts(spark, docs, sf_dir))
+    scored = quality_scores(docs.select("doc_id", "text"), docs, quality_labels(spark, sf_dir))
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

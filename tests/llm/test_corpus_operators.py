@@ -339,17 +339,19 @@ def test_quality_votes(spark, docs, nothing, texts):
     rng = random.Random(1)
     good = [(sentence(rng, 40).lower() + ".", 1.0) for _ in range(60)]
     bad = [(" ".join(w.upper() + "!!" for w in sentence(rng, 40).split(" ")), 0.0) for _ in range(60)]
-    labelled = spark.createDataFrame([*good, *bad, (None, 1.0), ("x", None)], "text string, label double")
-    scored = quality_scores(docs, labelled, sample=100)
+    rows = [(i, *r) for i, r in enumerate([*good, *bad, (None, 1.0), ("x", None)])]
+    source = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").withColumn("label", F.lit("z"))
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 0.0), (7777, 0.0)], "doc_id bigint, label double")
+    scored = quality_scores(docs, source, labels, sample=100)
     assert scored.columns == [*(c for c in docs.columns if c != "score"), "score"] and scored.count() == len(texts) + 1
     by_text = {}
     for r in scored.collect():
         assert 0 <= r.score <= 1
         assert by_text.setdefault(r.text or "", r.score) == pytest.approx(r.score, abs=1e-5)
     test = spark.createDataFrame([(0, sentence(rng, 60).lower()), (1, "LOUD!! TEXT!! AND!! MORE!! OF!! IT!!" * 3)], "doc_id bigint, text string")
-    assert [r.score > 0.7 for r in quality_scores(test, labelled).orderBy("doc_id").collect()] == [True, False]
-    assert {r.score for r in quality_scores(test, labelled.limit(0)).collect()} == {0.5}
-    assert quality_scores(nothing, labelled).collect() == []
+    assert [r.score > 0.7 for r in quality_scores(test, source, labels).orderBy("doc_id").collect()] == [True, False]
+    assert {r.score for r in quality_scores(test, source, labels.limit(0)).collect()} == {0.5}
+    assert quality_scores(nothing, source, labels).collect() == []
 
 
 def test_language_model(spark, docs, nothing, texts):
