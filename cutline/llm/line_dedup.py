@@ -125,6 +125,10 @@ def line_components(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, D
     rows = lines.select("hash", F.explode("bands").alias("band"))
     shared = written(rows.groupBy("band").agg(F.min("hash").alias("center"), F.max("hash").alias("top"), F.count(F.lit(1)).alias("n"))
                      .where("center < top").drop("top"), "shared")
+    # a bitmap of the shared bands rules out nearly all rows before they are shuffled again
+    cells = cells_for(shared.count())
+    table = written(bitmaps(shared.select(cell_of("band", cells=cells).alias("cell")).distinct()), "band_bits")
+    rows = with_flag(rows, table, [cell_of("band", cells=cells)], "may").where("may").drop("may")
     edges = written(join_groups(rows, shared, "band").where("hash <> center").select(
         F.col("hash").alias("a"), F.col("center").alias("b")).distinct(), "line_edges")
     active = written(edges.select(F.col("a").alias("hash")).unionAll(edges.select("b")).distinct(), "active_lines")
@@ -152,9 +156,11 @@ def repeated_lines(docs: DataFrame, percent: int = 80, k: int = SHINGLE, id_colu
     lines, links = line_components(source, percent, k)
     place = F.struct(F.col("id").isNull().alias("last"), "id", "line")
     first = written(lines.where("not blank").groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "first_places")
-    named = first.join(components(links).withColumnRenamed("node", "hash"), "hash", "left")
-    winners = named.where("component is not null").groupBy("component").agg(F.min("first").alias("winner"))
-    named = written(named.join(winners, "component", "left").select("hash", F.coalesce("winner", "first").alias("winner"), "n"), "winners")
+    found = components(links).withColumnRenamed("node", "hash")
+    linked = first.join(found, "hash")
+    winners = linked.groupBy("component").agg(F.min("first").alias("winner"))
+    alone = first.join(found, "hash", "left_anti").select("hash", F.col("first").alias("winner"), "n")
+    named = written(linked.join(winners, "component").select("hash", "winner", "n").unionByName(alone), "winners")
     judged = join_groups(lines.where("not blank").select("id", "line", "hash"), named, "hash")
     judged = judged.select("id", "line", (F.struct(F.col("id").isNull().alias("last"), "id", "line") != F.col("winner")).alias("drop"))
     everything = judged.unionByName(lines.where("blank").select("id", "line", F.lit(False).alias("drop")))
