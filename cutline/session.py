@@ -45,8 +45,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers of local sessions import this package wherever the driver was started.
-    A cluster gets the package with ``--py-files`` or installed, as any other."""
+    """Small Arrow batches where the session left them at their defaults, and workers of local sessions that can
+    import this package wherever the driver was started (a cluster gets it with ``--py-files`` or installed)."""
+    # texts are long: a batch holds a tenth of the rows of the default
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     context = spark.sparkContext
     if context.master.startswith("local"):
         root = str(Path(__file__).resolve().parents[1])
