@@ -51,7 +51,7 @@ class SegmentEncoder:
         self.ids = np.zeros(0, np.uint32)
 
     @classmethod
-    def open(cls, path: str, keep: int = 600_000, with_ids: bool = True) -> "SegmentEncoder":
+    def open(cls, path: str, keep: int = 400_000, with_ids: bool = True) -> "SegmentEncoder":
         key = (path, keep, with_ids)
         if key not in _OPEN:
             _OPEN[key] = cls(path, keep, with_ids)

@@ -32,7 +32,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_column: s
         from cutline.llm.encoding import SegmentEncoder
 
         encoder = SegmentEncoder.open(tokenizer, with_ids=False)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, size=1 << 18):
             texts = pc.fill_null(chunk.column("text"), "")
             counts, _ = encoder.encode(texts.to_pylist())
             yield pa.RecordBatch.from_arrays(
