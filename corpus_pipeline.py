@@ -67,13 +67,18 @@ def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return stay.unionByName(rest).select("row.*")
 
 
-STAGES = [
+def _prepared(stage):
+    """The stage on a session set up for long texts."""
+    return lambda spark, docs, sf_dir: stage(importable(spark), docs, sf_dir)
+
+
+STAGES = [(name, _prepared(stage)) for name, stage in (
     ("quality", quality_stage),
     ("exact_dedup", exact_stage),
     ("near_dedup", near_stage),
     ("decontamination", decontamination_stage),
     ("packing", packing_stage),
-]
+)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
