@@ -6,7 +6,10 @@
 2. Buckets of a band key that hold two different lines give star edges to their smallest line.
    Equal lines have equal digests, so repetitions add no edge.
 3. Only lines named by an edge are read again; both sets of an edge are compared in full.
-4. Union-find over the links. Of each component the earliest line (smallest id, then line number) stays.
+4. A star misses links between its leaves. Buckets whose lines are not all in one component get a second star to their
+   best linked line; lines still outside the largest component of a bucket are compared with all its lines,
+   in blocks where a bucket is large. So every pair that shares a bucket is linked or in one component.
+5. Union-find over the links. Of each component the earliest line (smallest id, then line number) stays.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from cutline.llm.bitmaps import bitmaps, cell_of, cells_for, with_flag
 from cutline.llm.graph import components, join_groups
-from cutline.llm.near_dedup import densified
+from cutline.llm.near_dedup import _block_links, densified
 from cutline.llm.text import chunks, gram_hash, mix
 from cutline.session import written
 
 SHINGLE, BANDS, ROWS = 7, 14, 5
+SMALL_BUCKET = 64  # lines of a bucket whose pairs are listed
 _LINE = "\n"
 
 
@@ -129,8 +133,8 @@ def line_components(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, D
     cells = cells_for(shared.count())
     table = written(bitmaps(shared.select(cell_of("band", cells=cells).alias("cell")).distinct()), "band_bits")
     rows = with_flag(rows, table, [cell_of("band", cells=cells)], "may").where("may").drop("may")
-    edges = written(join_groups(rows, shared, "band").where("hash <> center").select(
-        F.col("hash").alias("a"), F.col("center").alias("b")).distinct(), "line_edges")
+    buckets = written(join_groups(rows, shared, "band").select("band", "hash", "center").distinct(), "line_buckets")
+    edges = written(buckets.where("hash <> center").select(F.col("hash").alias("a"), F.col("center").alias("b")).distinct(), "line_edges")
     active = written(edges.select(F.col("a").alias("hash")).unionAll(edges.select("b")).distinct(), "active_lines")
     # the documents that show an active line first
     where = lines.where("not blank").select("id", "hash").join(active, "hash").groupBy("hash").agg(F.min("id").alias("id")).select("id").distinct()
@@ -138,9 +142,60 @@ def line_components(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, D
     table = written(bitmaps(where.select(cell_of("id", cells=cells).alias("cell")).distinct()), "line_bits")
     flagged = with_flag(docs, table, [cell_of("id", cells=cells)], "may").where("may")
     said = written(_line_texts(flagged).join(active, "hash", "left_semi").dropDuplicates(["hash"]), "active_texts")
-    pairs = edges.join(said.select(F.col("hash").alias("a"), F.col("said").alias("x")), "a").join(
+    links = written(_similar(_with_texts(edges, said), k, percent), "line_links")
+    # a bucket of two lines was compared in full
+    sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    mixed = _mixed(join_groups(buckets, written(sizes, "bucket_sizes"), "band"), links)
+    degree = links.select(F.col("a").alias("hash")).unionAll(links.select("b")).groupBy("hash").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = mixed.join(degree, "hash", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    tops = ranked.groupBy("band").agg(F.max(F.struct("degree", "hash")).alias("top"), F.count(F.lit(1)).alias("n")).select("band", F.col("top.hash").alias("hub"), "n")
+    second = join_groups(mixed.select("band", "hash"), written(tops, "hubs"), "band").where("hash <> hub").select(
+        F.col("hash").alias("a"), F.col("hub").alias("b")).distinct()
+    done = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    second = written(second.join(done, ["a", "b"], "left_anti"), "line_edges")
+    links = written(links.unionByName(_similar(_with_texts(second, said), k, percent)), "line_links")
+    return lines, written(links.unionByName(_bucket_links(_mixed(mixed.select("band", "hash", "n"), links), said, k, percent)), "line_links")
+
+
+def _with_texts(edges: DataFrame, said: DataFrame) -> DataFrame:
+    return edges.join(said.select(F.col("hash").alias("a"), F.col("said").alias("x")), "a").join(
         said.select(F.col("hash").alias("b"), F.col("said").alias("y")), "b")
-    return lines, written(_similar(pairs, k, percent), "line_links")
+
+
+def _mixed(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """(band, hash, n, component, main) of the buckets that hold more than one component; ``main`` is the largest."""
+    found = components(links).withColumnRenamed("node", "hash")
+    rows = buckets.select("band", "hash", "n").join(found, "hash", "left").withColumn("component", F.coalesce("component", "hash"))
+    rows = written(rows, "bucket_components")
+    parts = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(
+        F.max(F.struct("c", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("rows")).where("parts > 1").drop("parts")
+    return written(join_groups(rows, written(parts, "mixed"), "band", "rows").select("band", "hash", "n", "component", "main"), "mixed_buckets")
+
+
+def _bucket_links(mixed: DataFrame, said: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of the lines outside the largest component of a bucket with all its lines of other components."""
+    small = mixed.where(F.col("n") <= SMALL_BUCKET)
+    other = small.select("band", F.col("hash").alias("b"), F.col("component").alias("component2"))
+    pairs = small.where("component <> main").join(other, "band").where("component <> component2").select(
+        F.least("hash", "b").alias("a"), F.greatest("hash", "b").alias("b")).distinct()
+    found = _similar(_with_texts(written(pairs, "bucket_pairs"), said), k, percent)
+    large = mixed.where(F.col("n") > SMALL_BUCKET)
+    sets = written(_line_sets(said.join(large.select("hash").distinct(), "hash", "left_semi"), k), "line_sets")
+    groups = large.select(F.col("band").alias("group"), F.col("hash").alias("id"), "component", (F.col("component") != F.col("main")).alias("stray"))
+    return found.unionByName(_block_links(groups.join(sets, "id"), percent))
+
+
+def _line_sets(said: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of lines (hash, said)."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks([batch], "said"):
+                first, h = character_shingles(chunk.column("said").cast(pa.large_string()), k)
+                sets = [np.unique(h[a:b]) for a, b in zip(first, first[1:])]
+                yield pa.RecordBatch.from_arrays([chunk.column("hash"), pa.ListArray.from_arrays(
+                    pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), _longs(np.concatenate(sets)))], ["id", "shingles"])
+
+    return said.select("hash", "said").mapInArrow(cut, "id bigint, shingles array<bigint>")
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80, k: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
