@@ -177,3 +177,21 @@ def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = language_model_scores(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+@register("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from cutline.llm.periodic_runs import periodic_runs, with_planted_period
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs(with_planted_period(docs, F.crc32(F.col("doc_id").cast("string").cast("binary"))))
+    # the greatest run, ties to the smallest start and then period
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r.length, (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"), F.expr("-1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
