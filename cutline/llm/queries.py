@@ -195,3 +195,22 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (-F.col("top.period")).alias("period"), F.expr("-1000 * top.length div top.period").alias("exponent_milli"),
         F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@register("op12_page_text", r"""
+WITH articles AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+blocks AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'), lambda b: trim(regexp_replace(
+    regexp_replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'),
+      '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS lines
+  FROM articles),
+texts AS (SELECT page_id, url, array_to_string(list_filter(lines, lambda b: b <> ''), chr(10)) AS text FROM blocks)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts
+""")
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from cutline.llm.page_text import page_texts
+
+    found = page_texts(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
