@@ -95,7 +95,16 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     path, schema = scratch_folder(df.sparkSession, name), df.schema
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path).select(*schema.names)
+    table = df.sparkSession.read.schema(schema).parquet(path).select(*schema.names)
+    table.written_to = path
+    return table
+
+
+def delete_written(table: DataFrame) -> None:
+    """Delete a table of ``written`` (the very frame it returned) that no later step reads."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
