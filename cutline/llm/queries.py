@@ -214,3 +214,33 @@ def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = page_texts(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@register("op11_collocations", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang),
+found AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS a
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3), (4), (5)) sizes(k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING count(*) >= 100),
+longer AS (
+  SELECT lang, array_to_string(w[i : j], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, a, w, i, unnest(range(i + 1, len(w) + 1)) AS j FROM (SELECT lang, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS i FROM found WHERE k > 2))
+  WHERE j - i + 1 < len(w) GROUP BY ALL),
+candidates AS (SELECT lang, phrase, k, a FROM found LEFT JOIN longer USING (lang, phrase) WHERE k > 1 AND (longer IS NULL OR 100 * longer < 100 * a)),
+cuts AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, f.a AS l, s.a AS r, n, (1000 * c.a * n) // (f.a * s.a) AS score
+  FROM cuts c JOIN totals ON totals.lang = c.lang JOIN found f ON f.lang = c.lang AND f.phrase = array_to_string(w[1 : cut], ' ')
+  JOIN found s ON s.lang = c.lang AND s.phrase = array_to_string(w[cut + 1 : len(w)], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER w AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= 2000
+""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cutline.llm.collocations import collocations, frequent_phrases
+
+    return collocations(*frequent_phrases(table(spark, sf_dir, "documents"), least=100, longest=5), top=2000)
