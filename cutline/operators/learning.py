@@ -14,23 +14,24 @@ from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cutline.functions import scoring
+from cutline.operators.boosting import Boosted, fit_boosting, with_boosted
 from cutline.operators.evaluation import regression_metrics
 from cutline.operators.panel import longitudinal_panel, match_counts, match_outcomes, target_frame
 from cutline.operators.quantiles import exact_median
 from cutline.session import durable
 from cutline.schemas import (
-    CATEGORICAL_FEATURES, FEATURES_BY_MODE, FREQUENCY_FEATURES, HISTORY_FEATURES,
-    PREVIOUS_ROUND_FEATURES, TARGET, check_features,
+    CATEGORICAL_FEATURES, FEATURES_BY_MODE, FREQUENCY_FEATURES, HISTORY_FEATURES, OUTCOME_KEY,
+    PREVIOUS_ROUND_FEATURES, STATIC_COLUMNS, TARGET, check_features,
 )
 
 # --- fixed values -------------------------------------------------------------------------
 RIDGE_ALPHA = 10.0
-BOOSTING = {"maxIter": 120, "stepSize": 0.06, "maxDepth": 5, "minInstancesPerNode": 30, "seed": 42}
+BOOSTING = {"rounds": 120, "rate": 0.06, "leaves": 31, "least": 30, "l2": 1.0}
 FOREST = {"numTrees": 200, "maxDepth": 20, "minInstancesPerNode": 5, "seed": 42}
 RARE_BELOW = 2
 SEED = 42
@@ -193,8 +194,25 @@ def _fit_tree(estimator, train: DataFrame, features: list[str]) -> Forecaster:
     return Forecaster(design, model)
 
 
-def fit_boosted(train: DataFrame, features: list[str], **overrides) -> Forecaster:
-    return _fit_tree(GBTRegressor(**{**BOOSTING, "maxBins": 256, **overrides}), train, features)
+@dataclass
+class BoostedForecaster:
+    design: Design
+    model: Boosted
+
+    def predict(self, df: DataFrame, name: str = "predicted_closing_rank") -> DataFrame:
+        return with_boosted(self.design.apply(df), self.model, name)
+
+
+def fit_boosted_sets(trains: dict, features: list[str], **overrides) -> dict:
+    """A boosted forecaster per training set (name -> rows); all are grown by the same passes."""
+    designs = {name: fit_design(train, features, one_hot=False) for name, train in trains.items()}
+    tables = {name: designs[name].apply(train).select(vector_to_array("x").alias("x"), F.col(TARGET).alias("label")) for name, train in trains.items()}
+    models = fit_boosting(tables, **{**BOOSTING, **overrides})
+    return {name: BoostedForecaster(designs[name], model) for name, model in models.items()}
+
+
+def fit_boosted(train: DataFrame, features: list[str], **overrides) -> BoostedForecaster:
+    return fit_boosted_sets({"": train}, features, **overrides)[""]
 
 
 def fit_forest(train: DataFrame, features: list[str], **overrides) -> Forecaster:
@@ -222,6 +240,24 @@ def learned_folds(observed: DataFrame, years: list[int], models: dict) -> DataFr
     return out
 
 
+def fold_predictions(observed: DataFrame, origins: list[int], boosted_origins: list[int], **boosting) -> DataFrame:
+    """(origin, model, outcome key, static columns, actual, predicted) of ridge at ``origins`` and of boosted trees at
+    ``boosted_origins``, each fitted on the seasons before its origin; the boosted fits share their passes."""
+    panel = durable(longitudinal_panel(observed))
+    features = check_features(FEATURES_BY_MODE["pre_counselling"], "pre_counselling")
+    tables = {year: origin_tables(observed, panel, year) for year in sorted({*origins, *boosted_origins})}
+    models = [(year, "ridge", fit_ridge(tables[year][0], features)) for year in origins]
+    boosted = fit_boosted_sets({year: tables[year][0] for year in boosted_origins}, features, **boosting)
+    models += [(year, "hist_gradient_boosting", model) for year, model in boosted.items()]
+    out = None
+    for year, name, model in models:
+        rows = model.predict(tables[year][1]).select(
+            F.lit(year).cast("bigint").alias("origin"), F.lit(name).alias("model"), *OUTCOME_KEY, *STATIC_COLUMNS,
+            "actual_closing_rank", "predicted_closing_rank")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def ablations(observed: DataFrame, final_year: int) -> DataFrame:
     """Ridge refits without history, without frequencies, and with the forbidden opening rank;
     variants whose features are already excluded repeat the full row."""

@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cutline.functions import scoring
+from cutline.functions.keys import null_safe_join
 from cutline.operators import diagnostics as dg, evaluation as ev, learning as ml, panel
 from cutline.plans.registry import as_long, query, rounded
 from cutline.schemas import OUTCOME_KEY, PRE_SEASON_FEATURES
 from cutline.session import durable
 from cutline.sources import driver_tables as d
+from cutline.sources.tables import stored
 
 # fewer and shallower trees than the library defaults keep a registered query short
-QUICK_BOOSTING = {"maxIter": 10, "maxDepth": 4}
+QUICK_BOOSTING = {"rounds": 10}
 QUICK_FOREST = {"numTrees": 10, "maxDepth": 6}
 
 
@@ -37,11 +39,53 @@ def _quick_forest(train, features):
     return ml.fit_forest(train, features, **QUICK_FOREST)
 
 
+def _fold_store(spark, sf):
+    """Predictions and residuals of all four models, fitted once per application and kept by model and origin: ridge and the
+    last year at every origin (their residuals make later intervals), boosted trees at the evaluation seasons."""
+    def build():
+        table = d.observed(spark, sf)
+        learned = ev.with_residuals(ml.fold_predictions(table, d.ORIGINS, d.EVALUATION_YEARS))
+        return learned.unionByName(ev.matched_errors(ev.rolling_forecasts(table), d.ORIGIN_START, d.FINAL_YEAR).select(*learned.columns))
+
+    return stored(spark, f"folds {sf}", build, ["model", "origin"])
+
+
+def _store_metrics(spark, sf):
+    return ev.regression_metrics(_fold_store(spark, sf).where(F.col("origin").isin(d.EVALUATION_YEARS)), ["origin", "model"])
+
+
 @query("L3_L4_learned_folds")
 def _(spark, sf):
-    table = _table(spark, sf)
-    rows = ml.learned_folds(table, [d.FINAL_YEAR], {"ridge": ml.fit_ridge, "boosted_trees": _quick_boost})
-    return rounded(ev.regression_metrics(rows, ["origin", "model"]), 4)
+    """Metrics of four models at every evaluation season, with intervals of the two whose residuals go further back."""
+    wanted = F.col("origin").isin(d.EVALUATION_YEARS)
+    errors = _fold_store(spark, sf).where(F.col("model").isin("ridge", ev.LAST))
+    quality = ev.interval_metrics(ev.rolling_intervals(errors, d.ORIGINS).where(wanted), ["origin", "model"])
+    return rounded(null_safe_join(_store_metrics(spark, sf), F.broadcast(quality), ["origin", "model"], "left"), 4)
+
+
+@query("L10_fold_store_baselines", "SELECT * FROM folds", ("folds",))
+def _(spark, sf):
+    """The baselines as the store gives them back."""
+    return rounded(_store_metrics(spark, sf).where(F.col("model").isin(ev.LAST, ev.MEAN)))
+
+
+@query("L4_boosted_origins", """SELECT origin, count(*) AS n, true AS better_than_its_season_mean, true AS no_worse_than_twice_last_year FROM errors
+ WHERE model = 'naive_last_year' AND origin >= 1999 GROUP BY origin""", ("errors",))
+def _(spark, sf):
+    """Boosted trees see the cohort of the baselines and explain more than the cohort's own mean."""
+    metrics = _store_metrics(spark, sf)
+    last = metrics.where(F.col("model") == ev.LAST).select("origin", F.col("mae").alias("last_mae"))
+    return metrics.where(F.col("model") == "hist_gradient_boosting").join(F.broadcast(last), "origin").select(
+        "origin", as_long(F.col("n")).alias("n"), (F.col("r2") > 0).alias("better_than_its_season_mean"),
+        (F.col("mae") < 2 * F.col("last_mae")).alias("no_worse_than_twice_last_year"))
+
+
+@query("A4_L11_selection_of_four")
+def _(spark, sf):
+    """Places of the four models on the seasons before the last, and the chosen one's untouched last season."""
+    metrics = _store_metrics(spark, sf)
+    chosen = ev.final_holdout(metrics, d.FINAL_YEAR).select("model", F.col("mae").alias("final_mae"), F.col("n").alias("final_n"))
+    return rounded(ev.selection_summary(metrics, d.FINAL_YEAR).join(F.broadcast(chosen), "model", "left"), 4)
 
 
 @query("L5_model_comparison")

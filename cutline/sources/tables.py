@@ -10,7 +10,7 @@ from cutline.session import durable, scratch_folder
 _STORED: dict[tuple[str, str], tuple[str, T.StructType]] = {}
 
 
-def stored(spark: SparkSession, name: str, build, partition_by: str | None = None) -> DataFrame:
+def stored(spark: SparkSession, name: str, build, partition_by: str | list[str] | None = None) -> DataFrame:
     """A table written once per application to the shared folder and read back from there.
 
     Derived tables that many queries start from are computed one time; readers get column and

@@ -71,7 +71,7 @@ def test_trees_take_more_levels_than_bins(spark):
         F.concat(F.lit("Institute "), (F.col("id") % 300).cast("string")).alias("institute"),
         F.lit("IIT").alias("institute_type"), (F.col("id") % 7 + 1).alias("round"), ((F.col("id") % 300) * 10 + 1).alias(ml.TARGET))
     features = ["institute", "institute_type", "round"]
-    for fit in (lambda t: ml.fit_forest(t, features, numTrees=3, maxDepth=6), lambda t: ml.fit_boosted(t, features, maxIter=3)):
+    for fit in (lambda t: ml.fit_forest(t, features, numTrees=3, maxDepth=6), lambda t: ml.fit_boosted(t, features, rounds=3)):
         model = fit(rows)
         assert "institute" in model.design.column_names()
         scored = model.predict(rows.limit(50).withColumn("institute", F.when(F.col("round") == 1, "new").otherwise(F.col("institute"))))
