@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import itertools
+import functools
+import math
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cutline.functions.keys import null_safe_join
 from cutline.operators.quantiles import counted_values, exact_percentiles, with_range
+from cutline.session import durable
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -55,40 +57,90 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.corr("__ra", "__rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
-def _tau_b(x: np.ndarray, y: np.ndarray) -> float | None:
-    """Kendall's tau-b; discordant pairs are counted by merge counting in O(n log^2 n)."""
-    n = len(x)
-    if n < 2:
-        return None
-    pairs = n * (n - 1) // 2
-    ties = lambda v: int(sum(c * (c - 1) // 2 for c in np.unique(v, return_counts=True, axis=0)[1]))
-    tx, ty, txy = ties(x), ties(y), ties(np.column_stack([x, y]))
-    y_sorted = y[np.lexsort((y, x))]
-    discordant, width = 0, 1
-    blocks = [y_sorted[i:i + 1] for i in range(n)]
-    while len(blocks) > 1:
-        merged = []
-        for left, right in itertools.zip_longest(blocks[::2], blocks[1::2]):
-            if right is None:
-                merged.append(left)
-                continue
-            discordant += int((len(left) - np.searchsorted(left, right, side="right")).sum())
-            merged.append(np.sort(np.concatenate([left, right])))
-        blocks, width = merged, width * 2
-    bottom = float(pairs - tx) * float(pairs - ty)
-    return (pairs - tx - ty + txy - 2 * discordant) / bottom ** 0.5 if bottom > 0 else None
+def _inversions(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> int:
+    """Weighted pairs with x rising and y falling, bit by bit of y's rank from the top: of two values that part at a bit,
+    the larger one stands first."""
+    order = np.lexsort((y, x))
+    rank, w, found = np.unique(y, return_inverse=True)[1][order], weight[order].astype(np.int64), 0
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        one = (rank >> bit) & 1
+        high = np.cumsum(w * one)
+        prefix = rank >> (bit + 1)
+        start = np.flatnonzero(np.diff(prefix, prepend=-1))
+        before = np.repeat((high - w * one)[start], np.diff(np.append(start, len(rank))))
+        found += int((w * (1 - one) * (high - before)).sum())
+        sort = np.argsort(rank >> bit, kind="stable")
+        rank, w = rank[sort], w[sort]
+    return found
+
+
+def _with_range(points: DataFrame, group: list[str], value: str, ranges: int, name: str) -> DataFrame:
+    """``points`` with the number of a value's range: even between two borders, odd on a border. Borders are quantiles of a
+    mergeable sketch, so a range between borders has about an equal share of the rows and a frequent value one of its own."""
+    step = max(1, int(ranges**0.5))
+    sketch = points.groupBy(*group).agg(F.array_sort(F.array_distinct(F.percentile_approx(
+        value, [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges + 100))).alias("__fine"))
+    borders = sketch.withColumn("__coarse", F.filter(
+        F.transform("__fine", lambda v, i: F.when((i + 1) % step == 0, v)), lambda v: v.isNotNull()))
+    out = null_safe_join(points, F.broadcast(borders), group, "inner")  # groups are of closed domains, arrays of ``ranges``
+    below = lambda array: F.size(F.filter(array, lambda s: s < F.col(value)))
+    out = out.withColumn("__at", below(F.col("__coarse")) * step)
+    out = out.withColumn("__at", F.col("__at") + below(F.slice("__fine", F.col("__at") + 1, F.lit(step))))
+    on_border = F.coalesce(F.get("__fine", F.col("__at")) == F.col(value), F.lit(False))
+    return out.withColumn(name, 2 * F.col("__at") + on_border.cast("int")).drop("__fine", "__coarse", "__at")
+
+
+def _inside_ranges(points: DataFrame, group: list[str], by: str, x: str) -> DataFrame:
+    """(group, d): weighted inversions of ``x`` and ``__y`` inside each range of ``by``; a range of one value has none."""
+    schema = ", ".join(f"{k} {t}" for k, t in points.select(*group).dtypes) + ", d bigint"
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        head = frame[group].iloc[:1].copy()
+        head["d"] = _inversions(frame[x].to_numpy(), frame["__y"].to_numpy(), frame["__c"].to_numpy())
+        return head
 
+    rows = points.where(F.col(by) % 2 == 0).select(*group, by, F.col(x).alias(x), "__y", "__c")
+    return rows.groupBy(*group, by).applyInPandas(count, schema)
 
-def kendall(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """tau-b per group. Groups must be slices of the candidate catalogue (bounded size)."""
-    schema = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes) + ", kendall double"
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        head = frame[keys].iloc[:1].copy()
-        head["kendall"] = _tau_b(frame[a].to_numpy(float), frame[b].to_numpy(float))
-        return head
+def kendall(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Kendall's tau-b per group of closed-domain ``keys``, exact for groups of any size; null without two different values
+    of both columns. Rows with a null in either column do not count.
 
-    return df.select(*keys, a, b).groupBy(*keys).applyInPandas(one, schema)
+    Both columns are cut into about sqrt(n) / 8 ranges. A discordant pair lies in one range of ``a``, or else in one range of ``b``,
+    or apart in both. The first two kinds are counted inside ranges, which hold some 8 sqrt(n) rows; the third from
+    the grid of range counts (n / 16 cells at most) by two running sums.
+    """
+    group = keys or ["__all"]
+    data = df if keys else df.withColumn("__all", F.lit(1))
+    points = durable(data.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(
+        *group, F.col(a).cast("double").alias("__x"), F.col(b).cast("double").alias("__y")).agg(F.count(F.lit(1)).alias("__c")))
+    largest = points.groupBy(*group).agg(F.sum("__c").alias("n")).agg(F.max("n")).first()[0] or 1
+    ranges = math.ceil(largest**0.5 / 8)
+    placed = durable(_with_range(_with_range(points, group, "__x", ranges, "__bx"), group, "__y", ranges, "__by"))
+
+    exact = lambda c: c.cast("decimal(38,0)")
+    pairs = lambda c: exact(c) * exact(c - 1) / 2
+    def ties(*by):
+        return points.groupBy(*group, *by).agg(F.sum("__c").alias("c")).groupBy(*group).agg(F.sum(pairs(F.col("c"))).cast("decimal(38,0)").alias("t"))
+
+    grid = placed.groupBy(*group, "__by", "__bx").agg(F.sum("__c").alias("c"))
+    whole = grid.select(*group, "__by").distinct().withColumn("__bx", F.explode(F.sequence(F.lit(0), F.lit(2 * ranges))))
+    cells = null_safe_join(whole, grid, [*group, "__by", "__bx"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    before = Window.unboundedPreceding, -1
+    above = F.sum("c").over(Window.partitionBy(*group, "__bx").orderBy(F.desc("__by")).rowsBetween(*before))
+    cells = cells.withColumn("above", F.coalesce(above, F.lit(0)))
+    reach = F.sum("above").over(Window.partitionBy(*group, "__by").orderBy("__bx").rowsBetween(*before))
+    apart = cells.withColumn("reach", reach).groupBy(*group).agg(F.sum(exact(F.col("c")) * exact(F.coalesce("reach", F.lit(0)))).alias("d"))
+    parts = [_inside_ranges(placed, group, "__bx", "__x"), _inside_ranges(placed, group, "__by", "__bx"), apart]
+    counts = [p.select(*group, F.lit(kind).alias("kind"), exact(F.col("d")).alias("v")) for kind, p in zip(("d", "d", "d"), parts)]
+    counts += [ties(*by).select(*group, F.lit(kind).alias("kind"), F.col("t").alias("v"))
+               for kind, by in (("all", ()), ("x", ("__x",)), ("y", ("__y",)), ("xy", ("__x", "__y")))]
+    sums = functools.reduce(DataFrame.unionByName, counts).groupBy(*group).pivot("kind", ["all", "x", "y", "xy", "d"]).agg(F.sum("v"))
+    of = lambda c: F.coalesce(F.col(c), F.lit(0).cast("decimal(38,0)"))
+    top = of("all") - of("x") - of("y") + of("xy") - 2 * of("d")
+    bottom = F.sqrt((of("all") - of("x")).cast("double")) * F.sqrt((of("all") - of("y")).cast("double"))
+    return sums.select(*keys, F.try_divide(top.cast("double"), bottom).alias("kendall"))
 
 
 def wilcoxon(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
