@@ -20,6 +20,7 @@ INSTITUTE_SCORE = {"IIT": 1.00, "NIT": 0.78, "IIIT": 0.72, "GFTI": 0.48}
 INSTITUTE_SCORE_DEFAULT = 0.50
 GOLDEN = 0.6180339887498949
 N_DRAWS = 1000
+PERCENTILE_DRAWS = 10_000
 DRAW_CELLS = 2048
 
 
@@ -35,14 +36,14 @@ def standard_draws(n: int = N_DRAWS) -> list[float]:
     return sorted(out)
 
 
-def _failing_draws(cutoff: Column, std: Column, value: Column) -> Column:
-    """Number of shared draws z with cutoff + z * std < value, for std > 0.
+def _failing_draws(cutoff: Column, std: Column, value: Column, n: int = N_DRAWS) -> Column:
+    """Number of the ``n`` shared draws z with cutoff + z * std < value, for std > 0.
 
     A grid over z knows how many draws lie below each cell; only draws in the cell of the
     break-even point and its two neighbours are compared one by one (a handful instead of a
     thousand). The neighbours absorb the rounding of the division, so the count is exact.
     """
-    draws = standard_draws()
+    draws = standard_draws(n)
     low, width = draws[0], (draws[-1] - draws[0]) / DRAW_CELLS
     at = [min(DRAW_CELLS - 1, int((z - low) / width)) for z in draws]
     near = [[z for z, c in zip(draws, at) if abs(c - cell) <= 1] for cell in range(DRAW_CELLS)]
@@ -74,9 +75,10 @@ def draw_percentile(cutoff: Column, std: Column, q: float, n: int = N_DRAWS) ->
 
 
 def percentile_exceedance(cutoff: Column, std: Column, value: Column) -> Column:
-    """As ``exceedance`` on any scale, in percent; without spread it is a plain comparison."""
-    share = (F.lit(N_DRAWS) - _failing_draws(cutoff, std, value)).cast("double") / F.lit(float(N_DRAWS))
-    return F.when(std <= 0, F.when(value <= cutoff, 100.0).otherwise(0.0)).otherwise(share * 100.0)
+    """As ``exceedance`` on any scale and with 10,000 draws, in percent; without spread it is a plain comparison."""
+    passing = F.lit(PERCENTILE_DRAWS) - _failing_draws(cutoff, std, value, PERCENTILE_DRAWS)
+    return F.when(std <= 0, F.when(value <= cutoff, 100.0).otherwise(0.0)).otherwise(
+        passing.cast("double") / F.lit(PERCENTILE_DRAWS / 100.0))
 
 
 def point_likelihood(cutoff: Column, rank: Column) -> Column:

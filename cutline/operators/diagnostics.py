@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cutline.functions.keys import null_safe_join
-from cutline.operators.quantiles import counted_values, exact_percentiles, with_range
+from cutline.operators.quantiles import counted_values, exact_percentiles, order_statistics, with_range
 from cutline.session import durable
 
 
@@ -287,3 +287,19 @@ def failure_concentration(errors: DataFrame, columns: list[str], order: list[str
     ).select("p.*").groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("rows"))
     place = F.row_number().over(Window.partitionBy("dimension").orderBy(F.col("rows").desc(), "value"))
     return counts.withColumn("place", place).where(F.col("place") <= top)
+
+
+def threshold_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
+    """The ``n`` rows (all, if fewer) whose hash of ``keys`` and ``seed`` is smallest; rows of equal hash by their keys.
+
+    The n-th smallest hash is a counted order statistic, so the sample is a filter and no table is sorted. Only rows
+    of just that hash are ordered, to fill up the sample.
+    """
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    hashed = durable(df.withColumn("__h", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")))
+    if hashed.count() <= n:
+        return hashed.drop("__h")
+    at = order_statistics(hashed, [], "__h", {"h": lambda c: F.lit(n - 1)}).first()["h"]
+    below = hashed.where(F.col("__h") < at)
+    ties = hashed.where(F.col("__h") == at).orderBy(*keys).limit(n - below.count())
+    return below.unionByName(ties).drop("__h")

@@ -259,11 +259,11 @@ def _(spark, sf):
     return rounded(dg.jaccard(top("closing_rank"), top("opening_rank"), ["category"], "item"))
 
 
-@query("P13_deterministic_sample")
+@query("P13_deterministic_sample", f"""SELECT year, {OUTCOME}, closing_rank FROM observed
+ ORDER BY CAST('0x' || substr(md5(concat_ws('|', year, {OUTCOME}, '42')), 1, 15) AS BIGINT), year, {OUTCOME} LIMIT 20000""", ("observed",))
 def _(spark, sf):
     # the sample size is the operator's argument: plots take at most that many rows
-    table = _table(spark, sf)
-    return table.orderBy(F.xxhash64("year", *OUTCOME_KEY, F.lit(42)), "year", *OUTCOME_KEY).limit(20_000).select("year", *OUTCOME_KEY, "closing_rank")
+    return dg.threshold_sample(_table(spark, sf), ["year", *OUTCOME_KEY], 20_000).select("year", *OUTCOME_KEY, "closing_rank")
 
 
 # --- rank perturbation: slices of the bounded brand catalogue, base rank 10,000 -----------

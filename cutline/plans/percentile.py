@@ -115,8 +115,12 @@ cte("users", """SELECT profile_id, category, lower(gender) LIKE '%female%' AS is
  FROM profiles CROSS JOIN (SELECT unnest([1, 2, 3]) AS run, unnest(['HS', 'AI', 'AI']) AS pool) q WHERE q.run < 3 OR advanced_rank IS NOT NULL""", ("profiles",))
 cte("routes", """SELECT u.profile_id, u.run, u.rank_used, u.is_female, a.* FROM users u JOIN fit_b a ON u.category = a.category AND u.pool = a.quota_pool
  WHERE (NOT lower(a.gender) LIKE '%female%' OR u.is_female) AND (NOT a.is_pwd OR u.has_pwd) AND (a.quota_pool <> 'HS' OR coalesce(a.institute_state = u.home_state, false)) AND (u.run = 3) = (a.institute_type = 'IIT')""", ("users", "fit_b"))
-cte("simulated", f"""SELECT *, CASE WHEN is_female THEN 'F' ELSE 'N' END AS gender_tag, round(CASE WHEN std_dev <= 0 THEN CASE WHEN u <= mean THEN 100e0 ELSE 0e0 END ELSE len(list_filter(zs, lambda z: mean + z * std_dev >= u)) / 10e0 END, 1) AS probability_percent,
- CAST(least(greatest(round(mean / 100 * {TARGET_TOTAL}), 1), {TARGET_TOTAL}) AS BIGINT) AS projected_closing_rank FROM (SELECT *, rank_used / CAST({TARGET_TOTAL} AS DOUBLE) * 100 AS u FROM routes WHERE n < 2 OR std_dev > 0) CROSS JOIN draws""", ("routes", "draws"))
+# 10,000 draws in 100 rising chunks: chunks whose least draw passes pass whole, the one before is looked at draw by draw
+cte("many_draws", """SELECT list(c ORDER BY k) AS chunks, list(c[1] ORDER BY k) AS lows FROM (SELECT k, list(z ORDER BY z) AS c FROM (SELECT z, (row_number() OVER (ORDER BY z) - 1) // 100 AS k FROM (
+ SELECT sqrt(-2e0 * ln((i + 0.5e0) / 10000e0)) * cos(2e0 * pi() * (i * 0.6180339887498949e0 - floor(i * 0.6180339887498949e0))) AS z FROM range(10000) t(i))) GROUP BY k)""")
+cte("simulated", f"""SELECT *, CASE WHEN is_female THEN 'F' ELSE 'N' END AS gender_tag, round(CASE WHEN std_dev <= 0 THEN CASE WHEN u <= mean THEN 100e0 ELSE 0e0 END ELSE 0e0 END, 1) AS certain, CASE WHEN std_dev <= 0 THEN certain ELSE (100 * above + CASE WHEN above < 100 THEN len(list_filter(chunks[100 - above], lambda z: mean + z * std_dev >= u)) ELSE 0 END + 5) // 10 / 10e0 END AS probability_percent,
+ CAST(least(greatest(round(mean / 100 * {TARGET_TOTAL}), 1), {TARGET_TOTAL}) AS BIGINT) AS projected_closing_rank FROM (SELECT *, len(list_filter(lows, lambda z: mean + z * std_dev >= u)) AS above
+ FROM (SELECT *, rank_used / CAST({TARGET_TOTAL} AS DOUBLE) * 100 AS u FROM routes WHERE n < 2 OR std_dev > 0) CROSS JOIN many_draws)""", ("routes", "many_draws"))
 cte("first_run", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id, institute, program, quota_pool, gender_tag ORDER BY run, gender, is_pwd) AS rn FROM simulated) WHERE rn = 1""", ("simulated",))
 
 _FITS: dict[tuple[str, str], DataFrame] = {}

@@ -46,3 +46,14 @@ def test_groups_against_all_pairs(spark):
         assert got[k] == (None if want is None else pytest.approx(want, abs=1e-12)), k
     assert dg.kendall(df.where("k = 'smooth'"), [], "a", "b").first()["kendall"] == pytest.approx(got["smooth"])
     assert dg.kendall(df.limit(0), ["k"], "a", "b").count() == 0
+
+
+def test_threshold_sample_is_exact_with_equal_hashes(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(500).select("id", (F.col("id") % 40).alias("k"), F.lit(1).alias("__h"))  # equal keys hash alike
+    got = [r.k for r in dg.threshold_sample(rows, ["k"], 101).collect()]
+    assert len(got) == 101 and len(set(got)) in (8, 9)
+    assert sorted(got) == sorted(r.k for r in dg.threshold_sample(rows.repartition(7), ["k"], 101).collect())
+    assert dg.threshold_sample(rows, ["k"], 600).count() == 500 and dg.threshold_sample(rows.limit(0), ["k"], 5).count() == 0
+    assert {r.k for r in dg.threshold_sample(rows, ["k"], 40, seed=1).collect()} != {r.k for r in dg.threshold_sample(rows, ["k"], 40).collect()}
