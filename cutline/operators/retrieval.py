@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from cutline.functions import text
 from cutline.functions.keys import null_safe_join
+from cutline.session import durable
 
 # --- fixed values -------------------------------------------------------------------------
 CHUNK_SIZE, CHUNK_OVERLAP = 512, 64
@@ -20,6 +23,7 @@ NO_DOCUMENTS = '<no_retrieved_documents reason="empty_vector_store" />'
 NO_CONTEXT = "No ML recommendation context supplied."
 
 QUERY_BLOCK, VECTOR_SLICE = 4_096, 50_000
+INDEX_SAMPLE = 20_000
 
 
 def check_chunking(size: int, overlap: int) -> None:
@@ -104,11 +108,12 @@ def boundary_chunks(documents: DataFrame, id_column: str = "doc_id", size: int =
     return documents.select(id_column, "text").mapInPandas(run, schema)
 
 
-def append_collection(collection: DataFrame, added: DataFrame) -> DataFrame:
-    """Adding a source again adds its rows again; a missing chunk_index is its position."""
-    place = F.row_number().over(Window.partitionBy("source", "doc_id").orderBy("chunk_text")) - 1
+def append_collection(collection: DataFrame, added: DataFrame, position: str) -> DataFrame:
+    """Adding a source again adds its rows again; a missing chunk_index is the row's place in its document's list, which
+    column ``position`` of ``added`` orders (an offset or a number; it is not kept)."""
+    place = F.row_number().over(Window.partitionBy("source", "doc_id").orderBy(position)) - 1
     filled = added.withColumn("chunk_index", F.coalesce(F.col("chunk_index"), place.cast(added.schema["chunk_index"].dataType)))
-    return collection.unionByName(filled)
+    return collection.unionByName(filled.drop(position))
 
 
 def document_catalogue(chunks: DataFrame) -> DataFrame:
@@ -132,16 +137,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_column
     """
     if not 1 <= k <= TOP_K_MAX:
         raise ValueError(f"k must be between 1 and {TOP_K_MAX}")
-    id_type, q_type = vectors.schema[id_column].dataType, queries.schema[query_id].dataType
-    schema = T.StructType([T.StructField(query_id, q_type), T.StructField(id_column, id_type), T.StructField("distance", T.DoubleType())])
     queries = queries.where(F.col(query_vector).isNotNull())
     vectors = vectors.where(F.col(vector).isNotNull())
     blocks, slices = (max(1, -(-t.count() // n)) for t, n in ((queries, QUERY_BLOCK), (vectors, VECTOR_SLICE)))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     left = queries.select(F.col(query_id).alias("__q"), F.col(query_vector).alias("__x"), place(query_id, blocks).alias("__block"),
                           F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("__slice"))
-    right = vectors.select(F.col(id_column).alias("__v"), F.col(vector).alias("__y"), place(id_column, slices).alias("__part"),
-                           F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__group"))
+    right = vectors.select(F.col(id_column).alias("__v"), F.col(vector).alias("__y"), place(id_column, slices).alias("__slice"),
+                           F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
+    return _merged_best(left, right, ["__block", "__slice"], k, id_column, query_id)
+
+
+def _merged_best(left: DataFrame, right: DataFrame, meet: list[str], k: int, id_column: str, query_id: str) -> DataFrame:
+    """The k nearest of each query among the vectors it meets: a matrix product per value of ``meet``, merged per query."""
+    id_type, q_type = right.schema["__v"].dataType, left.schema["__q"].dataType
+    schema = T.StructType([T.StructField(query_id, q_type), T.StructField(id_column, id_type), T.StructField("distance", T.DoubleType())])
 
     def best(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or stored.empty:
@@ -161,7 +171,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_column
                 out.append(pd.DataFrame({query_id: ids[a + i], id_column: names[near], "distance": d[order]}))
         return pd.concat(out, ignore_index=True)
 
-    merged = left.groupBy("__block", "__slice").cogroup(right.groupBy("__group", "__part")).applyInPandas(best, schema)
+    merged = left.groupBy(*meet).cogroup(right.groupBy(*meet)).applyInPandas(best, schema)
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_column))
     return merged.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -184,6 +194,82 @@ def approximate_nearest(vectors: DataFrame, queries: DataFrame, threshold: float
     return pairs.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+@dataclass
+class CellIndex:
+    """Vectors by cell: ``rows`` (id, vector, cell) is a stored table of all of them, ``centers`` one row per cell."""
+
+    centers: np.ndarray
+    rows: DataFrame
+    id_column: str
+    vector: str
+
+    def probes_for(self, k: int = TOP_K, recall: float = 0.95, asked: int = 256) -> int:
+        """How many cells a query must look into for this share of its k nearest, measured against exact search for
+        ``asked`` of the vectors (a bounded sample by hash)."""
+        some = durable(self.rows.orderBy(F.xxhash64(self.id_column), self.id_column).limit(asked).select(
+            F.col(self.id_column).alias("query_id"), F.col(self.vector).alias("query_vector")))
+        found = nearest(self.rows, some, k, id_column=self.id_column, vector=self.vector).select("query_id", self.id_column)
+        order = some.select("query_id", _nearest_cells(self.centers, len(self.centers))("query_vector").alias("order"))
+        places = self.rows.select(self.id_column, "cell").join(F.broadcast(found), self.id_column).join(F.broadcast(order), "query_id")
+        counts = {r["place"]: r["n"] for r in places.groupBy(F.array_position("order", F.col("cell")).alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        reached = np.cumsum([counts.get(i, 0) for i in range(1, len(self.centers) + 1)])
+        return int(np.searchsorted(reached, recall * reached[-1])) + 1
+
+    def nearest(self, queries: DataFrame, k: int = TOP_K, probes: int | None = None, query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
+        """query_id, id, distance, rank: the k nearest of the vectors in the ``probes`` cells (``probes_for`` k by default) whose
+        centers are nearest, measured exactly. Queries without a vector have no rows; with fewer than k vectors in reach, fewer rows.
+
+        A cell that holds many vectors or queries is cut into slices and blocks, so no task has a whole hot cell.
+        """
+        if not 1 <= k <= TOP_K_MAX:
+            raise ValueError(f"k must be between 1 and {TOP_K_MAX}")
+        probes = probes or self.probes_for(k)
+        asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("__q"), F.col(query_vector).alias("__x"))
+        asked = durable(asked.withColumn("cell", F.explode(_nearest_cells(self.centers, min(probes, len(self.centers)))("__x"))))
+        # one small row per cell, as many as centers
+        sizes = self.rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VECTOR_SLICE).alias("__slices")).join(
+            asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("__blocks")), "cell")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+        part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        left = asked.join(F.broadcast(sizes), "cell").select("__q", "__x", "cell", part("__q", "__blocks").alias("__block"), each("__slices").alias("__slice"))
+        right = self.rows.join(F.broadcast(sizes), "cell").select(
+            F.col(self.id_column).alias("__v"), F.col(self.vector).alias("__y"), "cell", part(self.id_column, "__slices").alias("__slice"),
+            each("__blocks").alias("__block"))
+        return _merged_best(left, right, ["cell", "__block", "__slice"], k, self.id_column, query_id)
+
+
+def _nearest_cells(centers: np.ndarray, probes: int):
+    square = (centers**2).sum(axis=1)
+
+    @F.pandas_udf("array<int>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        x = np.array(vectors.tolist(), dtype=np.float64)
+        order = np.argsort(square - 2 * (x @ centers.T), axis=1, kind="stable")[:, :probes]
+        return pd.Series(order.astype(np.int32).tolist())
+
+    return cells
+
+
+def cell_index(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", cells: int | None = None,
+               sample: int = INDEX_SAMPLE, seed: int = 42) -> CellIndex:
+    """Cells of k-means centers fitted on about ``sample`` vectors (those of smallest hash), for every vector that is not
+    null. There are about sqrt(n) cells unless ``cells`` says otherwise, never more than the sample has vectors."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    known = vectors.where(F.col(vector).isNotNull()).select(id_column, vector)
+    n = known.count()
+    if not n:
+        return CellIndex(np.zeros((1, 1)), known.withColumn("cell", F.lit(0)), id_column, vector)
+    share = math.ceil(min(1.0, sample / n) * 1_000_000_000)
+    chosen = known.where(F.pmod(F.xxhash64(id_column, F.lit(seed)), F.lit(1_000_000_000)) < share)
+    chosen = durable(chosen.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v")))
+    number = min(cells or math.isqrt(n), chosen.count())
+    model = KMeans(k=number, featuresCol="v", seed=seed, maxIter=15).fit(chosen) if number > 1 else None
+    centers = np.array(model.clusterCenters()) if model else np.zeros((1, len(known.first()[1])))
+    return CellIndex(centers, durable(known.withColumn("cell", _nearest_cells(centers, 1)(vector)[0])), id_column, vector)
+
+
 def source_list(hits: DataFrame, chunks: DataFrame, id_column: str) -> DataFrame:
     """Per hit: source name, excerpt, page and chunk index. Few hits meet a large chunk table."""
     return hits.join(chunks, id_column).select(

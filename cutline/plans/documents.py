@@ -43,13 +43,15 @@ def _(spark, sf):
     return rt.document_catalogue(rt.stride_chunks(d.documents(spark, sf)))
 
 
-@query("R4_append_collection", """SELECT source, count(*) AS chunks, CAST(sum(chunk_index) AS BIGINT) AS index_sum FROM (SELECT doc_id, source, chunk_index FROM chunks UNION ALL
- SELECT doc_id, source, CASE WHEN lang = 'en' THEN row_number() OVER (PARTITION BY source, doc_id ORDER BY chunk_text) - 1 ELSE chunk_index END FROM chunks) GROUP BY source""", ("chunks",))
+@query("R4_append_collection", """SELECT source, count(*) AS chunks, CAST(sum(chunk_index) AS BIGINT) AS index_sum, CAST(sum(chunk_index * length(chunk_text)) AS BIGINT) AS weighted
+ FROM (SELECT * FROM chunks UNION ALL SELECT * FROM chunks) GROUP BY source""", ("chunks",))
 def _(spark, sf):
+    """Chunks added again without their numbers get the numbers of their places."""
     chunks = rt.stride_chunks(d.documents(spark, sf))
-    again = chunks.withColumn("chunk_index", F.when(F.col("lang") != "en", F.col("chunk_index")))
-    return rt.append_collection(chunks, again).groupBy("source").agg(
-        F.count(F.lit(1)).alias("chunks"), F.sum("chunk_index").alias("index_sum"))
+    again = chunks.withColumn("at", 10 * F.col("chunk_index") + 3).withColumn("chunk_index", F.when(F.col("lang") != "en", F.col("chunk_index")))
+    return rt.append_collection(chunks, again, "at").groupBy("source").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum("chunk_index").alias("index_sum"),
+        F.sum(F.col("chunk_index") * F.length("chunk_text")).cast("bigint").alias("weighted"))
 
 
 @query("R2_squared_distance", "SELECT query_id, vec_id, round(distance, 6) AS distance FROM distances JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) WHERE query_id = label", ("distances",))
@@ -85,6 +87,17 @@ def _(spark, sf):
         (F.count("distance") >= 4).alias("found_most"))
 
 
+@query("R3_cell_index_recall", "SELECT count(*) AS queries, true AS recall_of_nine_tenths, true AS distances_exact FROM embeddings", ())
+def _(spark, sf):
+    """Every vector asks for its five nearest: cells against exact search."""
+    vectors = d.read(spark, sf, "embeddings")
+    asked = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = rt.cell_index(vectors).nearest(asked).select("query_id", "vec_id", F.col("distance").alias("found"))
+    met = rt.nearest(vectors, asked).join(found, ["query_id", "vec_id"], "left")
+    return met.agg(F.countDistinct("query_id").alias("queries"), (F.avg(F.col("found").isNotNull().cast("double")) >= 0.9).alias("recall_of_nine_tenths"),
+                   F.bool_and(F.coalesce(F.abs(F.col("found") - F.col("distance")) < 1e-9, F.lit(True))).alias("distances_exact"))
+
+
 cte("vector_chunks", """SELECT doc_id AS vec_id, source, 1 + chunk_index // 4 AS page, chunk_index, chunk_text FROM (
  SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM chunks) WHERE chunk_index = doc_id % n""", ("chunks",))
 

@@ -65,3 +65,33 @@ def test_context_has_marker_without_hits(spark):
     chunks = spark.createDataFrame([], "vec_id bigint, chunk_text string")
     prompt = rt.assemble_context(queries, hits, chunks, "vec_id").first()["prompt"]
     assert rt.NO_DOCUMENTS in prompt and "a &lt; b" in prompt and rt.NO_CONTEXT in prompt
+
+
+def test_cell_index_with_every_cell_probed_is_exact(spark, monkeypatch):
+    """Hot cell in slices, queries in blocks, nulls, equal vectors: all cells give what exact search gives."""
+    import numpy as np
+
+    from cutline.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "VECTOR_SLICE", 16)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist() if i % 3 else [0.5] * 4) for i in range(120)] + [(500, None)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asked = vectors.where("vec_id % 4 = 0").selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    index = retrieval.cell_index(vectors, cells=6)
+    pairs = lambda df: {(r.query_id, r["rank"], r.vec_id) for r in df.collect()}
+    assert pairs(index.nearest(asked, probes=6)) == pairs(retrieval.nearest(vectors, asked))
+    assert 1 <= index.probes_for(recall=0.9) <= 6
+    empty = retrieval.cell_index(vectors.limit(0))
+    assert empty.nearest(asked.limit(0), probes=1).count() == 0
+
+
+def test_missing_chunk_numbers_follow_list_positions(spark):
+    from cutline.operators import retrieval
+
+    have = spark.createDataFrame([("s", 1, 0, "x")], "source string, doc_id bigint, chunk_index int, chunk_text string")
+    added = spark.createDataFrame([("s", 1, None, "z", 5), ("s", 1, None, "b", 90), ("s", 1, None, "a", 30), ("s", 2, 7, "q", 1)],
+                                  "source string, doc_id bigint, chunk_index int, chunk_text string, at int")
+    got = {(r.doc_id, r.chunk_index, r.chunk_text) for r in retrieval.append_collection(have, added, "at").collect()}
+    assert got == {(1, 0, "x"), (1, 0, "z"), (1, 1, "a"), (1, 2, "b"), (2, 7, "q")}
