@@ -55,6 +55,14 @@ def previous_round(df: DataFrame) -> DataFrame:
     })
 
 
+def rows_until(observed: DataFrame, cutoff_year: int) -> DataFrame:
+    """Rows of seasons up to ``cutoff_year``; an error where that season itself has no row, as a cutoff nothing was
+    observed at would pass off older data as current."""
+    if observed.where(F.col("year") == cutoff_year).isEmpty():
+        raise ValueError(f"no rows of the cutoff season {cutoff_year}")
+    return observed.where(F.col("year") <= cutoff_year)
+
+
 def longitudinal_panel(observed: DataFrame, mode: str = "pre_counselling") -> DataFrame:
     check_required(observed.columns)
     check_features(FEATURES_BY_MODE[mode], mode)

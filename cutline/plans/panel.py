@@ -157,10 +157,19 @@ def _(spark, sf):
     return panel.branch_by_year(finals, d.YEARS)
 
 
-@query("P4_past_filter", """SELECT year, count(*) AS rows, max(closing_rank) AS highest FROM observed WHERE year < 2000 GROUP BY year""", ("observed",))
-def _(spark, sf):
-    return d.observed(spark, sf).where(F.col("year") < 2000).groupBy("year").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("closing_rank").alias("highest"))
+@query("P4_past_filter", """SELECT cutoff, year, count(*) AS rows, max(closing_rank) AS highest FROM observed JOIN (SELECT unnest([1996, 1999, 2001]) AS cutoff) ON year <= cutoff GROUP BY cutoff, year
+ UNION ALL SELECT 1990, NULL, NULL, NULL UNION ALL SELECT 2050, NULL, NULL, NULL""", ("observed",))
+def _(spark, sf):
+    """Seasons up to three cutoffs; a cutoff without a season of its own is refused and stands for one empty row."""
+    table, out = d.observed(spark, sf), None
+    for cutoff in (1990, 1996, 1999, 2001, 2050):
+        try:
+            kept = panel.rows_until(table, cutoff).groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.max("closing_rank").alias("highest"))
+        except ValueError:
+            kept = spark.range(1).select(*(F.lit(None).cast("bigint").alias(c) for c in ("year", "rows", "highest")))
+        part = kept.select(F.lit(cutoff).alias("cutoff"), "year", "rows", "highest")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _SPLIT = "CASE WHEN year <= 1999 THEN 'train' WHEN year = 2000 THEN 'valid' WHEN year = 2001 THEN 'test' END"
