@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from cutline.functions import text
 from cutline.schemas import NATURAL_KEY
+from cutline.session import written
 
 
 def nulls_from_words(df: DataFrame) -> DataFrame:
@@ -90,15 +91,38 @@ def mapping_pairs(raw: DataFrame) -> DataFrame:
 
 
 def forward_fill(df: DataFrame, columns: list[str], row_id: str, file_column: str) -> DataFrame:
-    """Blank cells take the last non-blank value above, within one file (files are bounded)."""
+    """Blank cells take the last non-blank value above, within one file of any length.
+
+    A prefix scan: rows are cut into blocks of consecutive rows by a range partitioning on
+    (file, row), each block hands its last non-blank values on, and blocks are then filled side
+    by side. Only a file that crosses a border of blocks hands anything on, so what is broadcast
+    is at most one row per block. NULL and blank cells count as blank, cells before the first
+    value stay NULL, and ``row_id`` must be unique within a file (NULL is a file of its own).
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(file_column).orderBy(row_id).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    return df.withColumns({
-        c: F.last(F.nullif(F.trim(F.col(c)), F.lit("")), ignorenulls=True).over(w) for c in columns
-    })
+    spark, names = df.sparkSession, df.columns
+    # plain names inside: sheets have headers with dots and line breaks
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    at = {n: f"c{i}" for i, n in enumerate(names)}
+    file, row, cells = at[file_column], at[row_id], [at[c] for c in columns]
+    n_blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = written(
+        plain.withColumns({c: F.nullif(F.trim(F.col(c)), F.lit("")) for c in cells})
+        .repartitionByRange(n_blocks, file, row).withColumn("block", F.spark_partition_id()), "blocks")
+    last = blocks.groupBy(file, "block").agg(*[
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.col(row))).alias(c) for c in cells])
+    above = Window.partitionBy(file).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    handed = last.select(
+        F.col(file).alias("to_file"), F.col("block").alias("to_block"),
+        *[F.last(c, ignorenulls=True).over(above).alias(f"handed_{c}") for c in cells])
+    handed = handed.where(F.coalesce(*[F.col(f"handed_{c}") for c in cells]).isNotNull())
+    inside = Window.partitionBy("block", file).orderBy(row).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = blocks.join(
+        F.broadcast(handed), (F.col("block") == F.col("to_block")) & F.col(file).eqNullSafe(F.col("to_file")), "left")
+    return filled.select(*[
+        (F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"handed_{c}")) if c in cells else F.col(c)).alias(n)
+        for n, c in at.items()])
 
 
 def unpivot_seats(df: DataFrame, id_columns: list[str], seat_columns: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from cutline.functions import scoring, text
 from cutline.operators import cleaning, quality
 from cutline.plans.oracle_tables import OUTCOME
 from cutline.plans.registry import as_long, query, rounded
-from cutline.sources import driver_tables as d, file_audit, round_files, side_tables, tables
+from cutline.sources import driver_tables as d, file_audit, file_heads, round_files, side_tables, tables
 
 
 def _ranked(spark, sf):
@@ -234,6 +234,60 @@ def _(spark, sf):
     return side_tables.seat_matrix_from(_seat_sheet(spark, sf), "line", "file").drop("file", "line")
 
 
+@query("W10_forward_fill_one_file", """SELECT row_id, last_value(i IGNORE NULLS) OVER w AS institute, last_value(p IGNORE NULLS) OVER w AS program FROM (
+ SELECT l_orderkey * 8 + l_linenumber AS row_id, CASE WHEN l_linenumber = 1 AND l_orderkey % 5 = 0 THEN 'Institute ' || min(l_suppkey) END AS i,
+ CASE WHEN l_linenumber % 3 = 0 THEN min(l_returnflag) END AS p FROM lineitem GROUP BY l_orderkey, l_linenumber) WINDOW w AS (ORDER BY row_id ROWS UNBOUNDED PRECEDING)""")
+def _(spark, sf):
+    # every line number of every order is a row of one sheet, so no task may hold the file
+    n = F.col("l_linenumber")
+    lines = d.read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_suppkey").alias("k"), F.min("l_returnflag").alias("flag"))
+    sheet = lines.select(
+        F.lit("sheet").alias("file"), (F.col("l_orderkey") * 8 + n).alias("row_id"),
+        F.when((n == 1) & (F.col("l_orderkey") % 5 == 0), F.concat(F.lit("Institute "), F.col("k").cast("string"))).otherwise(" ").alias("institute"),
+        F.when(n % 3 == 0, F.col("flag")).alias("program"))
+    return cleaning.forward_fill(sheet, ["institute", "program"], "row_id", "file").drop("file")
+
+
+@query("S5_seat_matrix_files", """WITH s AS (SELECT *, unnest([0, 1]) AS pool FROM (SELECT CAST(substring(p_brand, 7, 4) AS BIGINT) AS k, p_type, count(*) AS n, sum(p_size) AS size FROM part GROUP BY ALL)) """ + _SEAT_SQL)
+def _(spark, sf):
+    """One sheet per institute as a CSV file: a header over two lines, grouped numbers in quotes,
+    rows that end early and rows with a field too many."""
+    name, kind = F.concat(F.lit("Institute "), F.col("k").cast("string")), F.col("p_type")
+    first = F.concat_ws(",", name, kind, F.lit("Gender-Neutral"), F.concat(F.lit('"'), F.format_number(F.col("size") * 10, 0), F.lit('"')))
+    second = F.concat_ws(",", F.lit(""), F.lit(""), F.lit("Female-only"), F.concat(F.lit('"'), F.format_number(F.col("size") * 10 + 1, 0), F.lit('"')))
+    seats = F.when(F.col("n") % 2 == 0, F.concat(F.lit(","), F.col("n").cast("string"))).otherwise("")
+    rows = d.read(spark, sf, "part").groupBy(F.substring("p_brand", 7, 4).cast("bigint").alias("k"), "p_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("size")).select("k", "p_type", F.posexplode(F.array(
+            F.concat(first, seats), F.lit(",,Gender-Neutral,1,2,n/a,4"), F.concat(second, seats))).alias("line", "value"))
+    header = rows.select("k", F.lit("").alias("p_type"), F.lit(0).alias("line"), F.lit(
+        '"Institute\n Name",Program Name,Seat Pool,OPEN,SC,ST').alias("value")).distinct()
+    folder = tables.scratch_folder(spark, "sheets")
+    rows.unionByName(header).repartition("k").sortWithinPartitions("k", "p_type", "line").select("k", "value").write.partitionBy("k").text(folder)
+    return side_tables.read_seat_matrix(spark, folder)
+
+
+@query("S1_S2_header_widths", """SELECT source_file, CAST(CASE WHEN source_file < '1997' THEN 6 ELSE 7 END AS BIGINT) AS header_width, true AS head_only, count(*) AS rows,
+ count(*) FILTER (source_file < '1997' OR raw_gender = 'Gender-Neutral') AS neutral_rows, count(raw_closing) AS with_closing FROM raw_nulls GROUP BY source_file""", ("raw_nulls",))
+def _(spark, sf):
+    """Files of the first two seasons have no gender column; widths come from the heads of the files."""
+    from cutline.schemas import LEGACY_ROUND_SCHEMA, RAW_ROUND_SCHEMA
+
+    folder, raw = tables.scratch_folder(spark, "widths"), d.raw_rounds(spark, sf)
+    is_legacy = F.col("source_file") < "1997"
+    for schema, rows in ((RAW_ROUND_SCHEMA, raw.where(~is_legacy)), (LEGACY_ROUND_SCHEMA, raw.where(is_legacy))):
+        rows.select(*[F.col(f"`{f.name}`") for f in schema.fields], "source_file").repartition(
+            "source_file", F.pmod(F.xxhash64("Institute"), F.lit(8))).write.mode("append").option("header", True).option(
+            "maxRecordsPerFile", 5_000_000).partitionBy("source_file").csv(folder)
+    found = round_files.discover(spark, folder)
+    widths = round_files.headers(found).join(found, "path").groupBy("source_file").agg(
+        F.max("width").alias("header_width"), (F.max("bytes_read") <= file_heads.HEAD_BYTES).alias("head_only"))
+    rows = round_files.load_rounds(spark, folder).groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("Gender") == "Gender-Neutral").alias("neutral_rows"),
+        F.count(F.col("`Closing Rank`")).alias("with_closing"))
+    return widths.join(rows, "source_file")
+
+
 @query("S11_relational_load", """SELECT institute, program, 999 + dense_rank() OVER (ORDER BY institute) AS institute_code, 999 + dense_rank() OVER (ORDER BY program) AS program_code,
  year, round, quota, category, gender, is_pwd, closing_rank FROM cleaned WHERE opening_rank IS NOT NULL AND closing_rank IS NOT NULL""", ("cleaned",))
 def _(spark, sf):

@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "cutline", cpus: str | int | None = None) -> SparkSession:
@@ -100,6 +100,13 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return table
 
 
+def broadcast_if_small(df: DataFrame, name: str, limit: int = 16 << 20) -> DataFrame:
+    """``df`` stored, and marked for broadcast only if its values as JSON text take at most ``limit`` bytes."""
+    table = written(df, name.replace(" ", "-"))
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(table) if size <= limit else table
+
+
 def delete_written(table: DataFrame) -> None:
     """Delete a table of ``written`` (the very frame it returned) that no later step reads."""
     context = table.sparkSession.sparkContext

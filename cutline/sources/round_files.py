@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cutline.functions.text import null_words_to_null
 from cutline.schemas import LEGACY_ROUND_SCHEMA, RAW_ROUND_SCHEMA
+from cutline.session import broadcast_if_small
+from cutline.sources.file_heads import headers
 
 # year and round live in the file name (or the folder of that name a distributed writer makes)
 ROUND_NAME = r"(\d{4})_round_(\d+)\.\w+"
@@ -31,7 +33,8 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
 def with_lineage(rows: DataFrame) -> DataFrame:
     """0-based row number within each file, without gathering a file in one task.
 
-    Rows are numbered inside their file split; a small table of splits gives each its offset.
+    Rows are numbered inside their file split; the table of splits (one row each, stored, and
+    broadcast when its measured size allows) gives each its offset.
     """
     columns = rows.columns
     located = rows.select(
@@ -40,7 +43,7 @@ def with_lineage(rows: DataFrame) -> DataFrame:
     splits = located.groupBy("__f", "__b").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
     offset = F.sum("__n").over(Window.partitionBy("__f").orderBy("__b")) - F.col("__n")
     splits = splits.withColumn("__offset", offset).drop("__n")
-    return located.join(splits, ["__f", "__b"]).select(
+    return located.join(broadcast_if_small(splits, "row offsets"), ["__f", "__b"]).select(
         *columns, F.regexp_extract("__f", ROUND_NAME, 0).alias("source_file"),
         (F.col("__offset") + F.col("__id") - F.col("__first")).alias("source_row_id"),
         F.regexp_extract("__f", ROUND_NAME, 1).cast("bigint").alias("year"),
@@ -71,17 +74,9 @@ def read_rounds(spark: SparkSession, modern: list[str], legacy: list[str] = ())
 
 
 def split_by_header(spark: SparkSession, folder: str) -> tuple[list[str], list[str]]:
-    """(modern, legacy) paths by width of the header line. One short line per file is read and
-    the list of files, not of rows, reaches the driver."""
-    files = discover(spark, folder).select("path")
-    paths = [r[0] for r in files.collect()]
-    if not paths:
-        return [], []
-    heads = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), "value"
-    ).where(F.col("b") == 0).withColumn("__id", F.monotonically_increasing_id())
-    first = heads.groupBy("path").agg(F.min_by("value", "__id").alias("header"))
-    width = {r[0]: r[1] for r in first.select("path", F.size(F.split("header", ","))).collect()}
+    """(modern, legacy) paths by width of the header line. The head of each file is read and the
+    list of files, not of rows, reaches the driver."""
+    width = {r["path"]: r["width"] for r in headers(discover(spark, folder)).collect()}
     modern = sorted(p for p, w in width.items() if w > 6)
     legacy = sorted(p for p, w in width.items() if w <= 6)
     return modern, legacy

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cutline.operators.cleaning import forward_fill, unpivot_seats
 from cutline.schemas import SEAT_CATEGORIES
@@ -49,11 +49,23 @@ def seat_matrix_from(raw: DataFrame, row_id: str, file_column: str) -> DataFrame
     return unpivot_seats(filled, ids, seats)
 
 
+def _n_fields(record: Column) -> Column:
+    """Fields of a raw CSV record: commas outside quotes, and one more."""
+    bare = F.regexp_replace(record, '"[^"]*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
 def read_seat_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Quoted fields may span lines, so one file is one split and row order is file order."""
-    raw = (
-        spark.read.option("header", True).option("mode", "DROPMALFORMED").option("multiLine", True).csv(path)
-    )
-    numbered = raw.select("*", F.col("_metadata.file_path").alias("__file"))
+    """Seat sheets of one file or folder. Rows with more fields than the header are skipped, shorter
+    rows keep what they have. Quoted fields may span lines, so a file (one yearly sheet) is one
+    split and row order is file order; files are spread over tasks."""
+    reader = (
+        spark.read.option("header", True).option("multiLine", True).option("recursiveFileLookup", True)
+        .option("columnPruning", False))
+    header = reader.csv(path).schema
+    raw = reader.schema(T.StructType([*header.fields, T.StructField("__record", T.StringType())])).option(
+        "columnNameOfCorruptRecord", "__record").option("enforceSchema", True).csv(path)
+    fitting = raw.where(F.coalesce(_n_fields(F.col("__record")) <= len(header), F.lit(True)))
+    numbered = fitting.select("*", F.col("_metadata.file_path").alias("__file")).drop("__record")
     numbered = numbered.withColumn("__row", F.monotonically_increasing_id())
     return seat_matrix_from(numbered, "__row", "__file")

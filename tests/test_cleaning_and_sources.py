@@ -131,3 +131,49 @@ def test_upload_audit(spark):
     got = [(r["safe_name"], r["reason"]) for r in file_audit.audit_uploads(files, 50).collect()]
     assert got == [("a.PDF", None), ("a.pdf", "signature_mismatch"), ("a.txt", "unsupported_extension"), ("a.pdf", "empty"),
                    ("a.pdf", "declared_type_mismatch"), ("a.pdf", "too_large"), ("dir", "unsupported_extension"), ("p.webp", None)]
+
+
+def test_forward_fill_across_blocks(spark):
+    """One long file among short ones: blocks hand values on, files do not."""
+    import random
+
+    rng = random.Random(3)
+    rows = [("long", i, rng.choice(["", None, " ", f"v{i}"]) if i % 97 == 0 else "", "p" if i == 5 else None) for i in range(3000)]
+    rows += [(f"f{k}", i, "x" if i == 1 else "", "") for k in range(5) for i in range(3)] + [(None, 0, "n", ""), (None, 1, "", "")]
+    want, last = {}, {}
+    for file, i, a, b in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        seen = last.setdefault(file, [None, None])
+        seen[0] = a if a and a.strip() else seen[0]
+        seen[1] = b if b and b.strip() else seen[1]
+        want[file, i] = tuple(seen)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "`the file` string, i int, `Sr. No` string, b string")
+    out = cleaning.forward_fill(df, ["Sr. No", "b"], "i", "the file")
+    assert out.columns == df.columns
+    assert {(r[0], r[1]): (r[2], r[3]) for r in out.collect()} == want
+    assert cleaning.forward_fill(df.limit(0), ["b"], "i", "the file").count() == 0
+
+
+def test_long_seat_rows_are_skipped_and_short_ones_kept(spark, tmp_path):
+    path = write(tmp_path, "seats.csv", [
+        '"Institute\n Name",Program Name,Seat Pool,OPEN,SC', 'X,"Civil, B",Neutral,"1,200",4', ",,Neutral,1,2,3", ",,Female-only,7"])
+    got = {(r["institute"], r["program"], r["seat_pool"], r["category"]): r["seat_count"]
+           for r in side_tables.read_seat_matrix(spark, path).collect()}
+    assert got == {("X", "Civil, B", "Neutral", "OPEN"): 1200, ("X", "Civil, B", "Neutral", "SC"): 4,
+                   ("X", "Civil, B", "Female-only", "OPEN"): 7}
+
+
+def test_headers_read_a_bounded_head(spark, tmp_path):
+    from cutline.sources import file_heads
+
+    write(tmp_path, "2018_round_1.csv", ["a,b,c,d,e,f,g"] + ["x" * 100] * 50_000)
+    write(tmp_path, "2018_round_2.csv", ["h" * 9000 + ",b,c,d,e,f", "x"])
+    write(tmp_path, "2018_round_3.csv", ["\ufeffa,b\r"])
+    open(tmp_path / "2018_round_4.csv", "w").close()
+    paths = spark.createDataFrame([(f"file:{tmp_path}/2018_round_{i}.csv",) for i in (1, 2, 3, 4)], "path string")
+    rows = {r["path"][-16:]: r for r in file_heads.headers(paths).collect()}
+    assert {k: r["width"] for k, r in rows.items()} == {
+        "2018_round_1.csv": 7, "2018_round_2.csv": 6, "2018_round_3.csv": 2, "2018_round_4.csv": 1}
+    assert rows["2018_round_1.csv"]["bytes_read"] == file_heads.HEAD_BYTES
+    assert rows["2018_round_3.csv"]["header"] == "a,b"
+    assert file_heads.headers(paths.limit(0)).count() == 0
