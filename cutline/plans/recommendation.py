@@ -83,6 +83,72 @@ def _(spark, sf):
     return quality.universe_contract(universe, calibration, years, d.PREDICTION_YEAR)
 
 
+@query("L15_dataset_digest", """SELECT year, count(*) AS rows, """ + ", ".join(
+    f"CAST(sum(CAST('0x' || substr(h, {at}, 15) AS BIGINT)) AS VARCHAR) AS s{i}" for i, at in enumerate((1, 16, 31, 46), 1)) + """ FROM (
+ SELECT year, sha256(""" + " || ".join(f"strlen(CAST({c} AS VARCHAR)) || ':' || {c}" for c in (
+    "category", "closing_rank", "gender", "institute", "is_pwd", "opening_rank", "program", "quota", "round")) + """) AS h FROM observed) GROUP BY year""", ("observed",))
+def _(spark, sf):
+    from cutline.sources import bundle
+
+    observed = d.observed(spark, sf).select(
+        "year", "category", "closing_rank", "gender", "institute", "is_pwd", "opening_rank", "program", "quota", "round")
+    # seasons are few; each is a folder of the stored table, so a season's scan reads that folder alone
+    parts = [bundle.with_row_sums(observed.where(F.col("year") == y).drop("year")).withColumn("year", F.lit(y).cast("bigint"))
+             for y in d.YEARS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where(F.col("rows") > 0).select("year", "rows", *[F.col(f"s{i}").cast("string").alias(f"s{i}") for i in range(1, 5)])
+
+
+@query("L15_V4_bundle_admission", """SELECT bundle, reasons, CASE WHEN reasons = '' THEN (SELECT count(*) FROM frame_b) END AS universe_rows,
+ CASE WHEN reasons = '' THEN (SELECT count(*) FROM calibration) END AS calibration_rows, CASE WHEN reasons = '' THEN (SELECT count(*) FROM observed_b) END AS dataset_rows
+ FROM (VALUES ('published', ''), ('torn', 'no manifest'), ('no_calibration', 'no calibration'), ('edited_universe', 'universe is not the one of the manifest'),
+ ('mixed', 'calibration is not the one of the manifest'), ('later_calibration', 'calibration years not past'), ('other_dataset', 'calibration of another dataset'),
+ ('leaking', 'universe carries closing_rank'), ('other_year', 'wrong_prediction_year'), ('two_defaults', 'default_rows_not_one')) v(bundle, reasons)""", ("frame_b", "calibration", "observed_b"))
+def _(spark, sf):
+    """One published bundle and nine that are torn, mixed, edited or inconsistent: what the loader says to each."""
+    from cutline.sources import bundle
+    from cutline.sources.tables import scratch_folder
+
+    universe, calibration = serving_bundle(spark, sf)
+    observed, folder = d.observed(spark, sf, "brand"), scratch_folder(spark, "bundles")
+    facts = dict(training_years=d.YEARS, calibration_years=d.ORIGINS, data_cutoff_year=d.FINAL_YEAR, prediction_year=d.PREDICTION_YEAR,
+                 features=["last_closing_rank"], seed=7)
+    paths = {"published": bundle.publish(universe, calibration, observed, folder, **facts)}
+    u, k, manifest = bundle.load(spark, paths["published"])
+    dataset = {"rows": manifest["dataset_rows"], "digest": manifest["dataset_sha256"]}
+
+    def variant(name, stated=None, **tables):
+        """Tables under a manifest: the published one, or one made to fit them with some facts changed."""
+        at = paths[name] = f"{folder}/{name}"
+        bundle.write_tables(at, **tables)
+        if stated is not None:
+            made = manifest if stated == "published" else bundle.make_manifest(spark, at, dataset=dataset, **facts)
+            if isinstance(stated, dict):
+                made["calibration"].update(stated)
+            bundle.write_manifest(spark, at, made)
+
+    variant("torn", None, universe=u, calibration=k)
+    variant("no_calibration", "published", universe=u)
+    first = u.agg(F.min("choice_id")).first()[0]
+    rank = F.col("predicted_closing_rank")
+    variant("edited_universe", "published", calibration=k, universe=u.withColumn(
+        "predicted_closing_rank", F.when(F.col("choice_id") == first, rank + 1).otherwise(rank)))
+    variant("mixed", "published", universe=u, calibration=k.withColumn("abs_residual_quantile", F.col("abs_residual_quantile") + 1))
+    variant("later_calibration", {"calibration_years": [*d.ORIGINS, d.PREDICTION_YEAR]}, universe=u, calibration=k)
+    variant("other_dataset", {"dataset_sha256": "0" * 64}, universe=u, calibration=k)
+    variant("leaking", "made", universe=u.withColumn("closing_rank", rank), calibration=k)
+    variant("other_year", "made", universe=u.withColumn("year", F.when(F.col("choice_id") == first, F.col("year") - 1).otherwise(F.col("year"))), calibration=k)
+    variant("two_defaults", "made", universe=u, calibration=k.unionByName(k.where(F.col("institute_type_str") == "__default__")))
+    rows = []
+    for name, path in paths.items():
+        reasons, found, tables = bundle.examine(spark, path)
+        counts = [None] * 3 if reasons else [*(found["tables"][t]["rows"] for t in bundle.TABLES), found["dataset_rows"]]
+        rows.append((name, "; ".join(reasons), *counts))
+    return spark.createDataFrame(rows, "bundle string, reasons string, universe_rows bigint, calibration_rows bigint, dataset_rows bigint")
+
+
 _BAD = """SELECT profile_id, main_rank IS NULL OR main_rank NOT BETWEEN 1 AND 1200000 AS r1, coalesce(advanced_rank NOT BETWEEN 1 AND 50000, false) AS r2,
  category NOT IN ('OPEN','OBC-NCL','SC','ST','EWS') AS r3, gender NOT IN ('Gender-Neutral','Female-only') AS r4, profile_id % 37 = 0 AS r5, profile_id % 43 = 0 AS r6,
  round NOT BETWEEN 1 AND 6 AS r7, top_n NOT BETWEEN 1 AND 200 AS r8, profile_id % 47 = 0 AS r9, profile_id % 41 = 0 AS r10, profile_id % 31 = 0 AS r11 FROM (
