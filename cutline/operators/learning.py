@@ -22,6 +22,7 @@ from cutline.functions import scoring
 from cutline.operators.boosting import Boosted, fit_boosting, with_boosted
 from cutline.operators.evaluation import regression_metrics
 from cutline.operators.panel import longitudinal_panel, match_counts, match_outcomes, target_frame
+from cutline.operators.positions import permuted
 from cutline.operators.quantiles import exact_median
 from cutline.session import durable
 from cutline.schemas import (
@@ -382,23 +383,15 @@ def importance_table(spark, forecaster: Forecaster) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, value double, magnitude double")
 
 
-def permutation_importance(forecaster: Forecaster, rows: DataFrame, id_columns: list[str], repeats: int = 5, blocks: int = 64) -> DataFrame:
+def permutation_importance(forecaster: Forecaster, rows: DataFrame, id_columns: list[str], repeats: int = 5) -> DataFrame:
     """Mean and deviation of the MAE increase when one feature's values change rows.
 
-    Values trade places inside ``blocks`` sets of rows drawn by hash, so no global ordering exists; every
-    (feature, repeat) copy is scored in one pass. The number of blocks is an argument and does not follow
-    the table: raise it where a share of the rows is too much for one task.
+    Values are permuted over the whole table (``positions.permuted``), by one permutation per repeat for
+    all features; every (feature, repeat) copy is scored in one pass.
     """
     features = forecaster.design.features
-    key = F.xxhash64(*id_columns)
-    base = rows.select(*features, F.col(TARGET).cast("double").alias("__y"), key.alias("__key"))
-    base = base.withColumn("__block", F.pmod(F.xxhash64("__key", F.lit(7)), F.lit(blocks)))
-    reps = base.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    by = Window.partitionBy("__block", "__rep")
-    own = reps.withColumn("__at", F.row_number().over(by.orderBy("__key")))
-    donor = reps.withColumn("__at", F.row_number().over(by.orderBy(F.xxhash64("__key", "__rep"), "__key"))).select(
-        "__block", "__rep", "__at", *[F.col(f).alias(f"__d_{f}") for f in features])
-    paired = own.join(donor, ["__block", "__rep", "__at"])
+    base = rows.select(*features, F.col(TARGET).cast("double").alias("__y"), *[c for c in id_columns if c not in features])
+    paired = permuted(base, features, id_columns, repeats)
     copies = paired.withColumn("__f", F.explode(F.lit(features)))
     swapped = copies.select("__f", "__rep", "__y", *[
         F.when(F.col("__f") == f, F.col(f"__d_{f}")).otherwise(F.col(f)).alias(f) for f in features])

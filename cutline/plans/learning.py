@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cutline.functions import scoring
 from cutline.functions.keys import null_safe_join
-from cutline.operators import diagnostics as dg, evaluation as ev, learning as ml, panel
+from cutline.operators import diagnostics as dg, evaluation as ev, learning as ml, panel, positions
 from cutline.plans.registry import as_long, query, rounded
 from cutline.schemas import OUTCOME_KEY, PRE_SEASON_FEATURES
 from cutline.session import durable
@@ -147,6 +147,16 @@ def _(spark, sf):
     return rounded(ml.permutation_importance(model, valid, ["year", *OUTCOME_KEY]), 4)
 
 
+@query("A35_permuted_rows", """SELECT rep, count(*) AS rows, count(*) AS donors, CAST(sum(closing_rank) AS BIGINT) AS closing_sum, count(DISTINCT institute) AS institutes, true AS most_moved
+ FROM observed_b, (SELECT unnest([1, 2, 3]) AS rep) WHERE year = 2000 GROUP BY rep""", ("observed_b",))
+def _(spark, sf):
+    """In every repeat each row of the validation season gives its values exactly once."""
+    out = positions.permuted(_splits(spark, sf)[1], ["closing_rank", "institute"], ["year", *OUTCOME_KEY], 3)
+    return out.groupBy(as_long(F.col("__rep")).alias("rep")).agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("__donor").alias("donors"), F.sum("__d_closing_rank").cast("bigint").alias("closing_sum"),
+        F.countDistinct("__d_institute").alias("institutes"), (F.count_if(F.col("__donor") != F.col("__key")) * 2 > F.count(F.lit(1))).alias("most_moved"))
+
+
 @query("L3_L10_ridge_origins", """SELECT origin, count(*) AS n, true AS finite FROM errors_b WHERE model = 'naive_last_year' AND origin >= 1999 GROUP BY origin""", ("errors_b",))
 def _(spark, sf):
     """Ridge at every evaluation season: its cohort is that of the baselines."""
