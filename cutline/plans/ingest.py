@@ -390,6 +390,28 @@ def _(spark, sf):
     return file_audit.audit_integrity(files, manifest).groupBy("status").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query("S13_S14_real_files", """SELECT doc_id, status, CASE WHEN status <> 'missing' THEN CASE WHEN size = 0 THEN 'empty' WHEN size > 6000 THEN 'too_large' WHEN ext = 'txt' THEN 'unsupported_extension'
+  WHEN declared <> mime THEN 'declared_type_mismatch' WHEN doc_id % 7 = 6 OR doc_id % 11 = 10 THEN 'signature_mismatch' END END AS reason, CASE WHEN status <> 'missing' THEN CAST(size AS BIGINT) END AS size FROM (
+ SELECT doc_id, ext, mime, CASE WHEN doc_id % 13 = 12 THEN 'image/png' ELSE mime END AS declared,
+  CASE WHEN doc_id % 11 = 10 THEN 0 ELSE strlen(text) + CASE WHEN doc_id % 7 = 6 THEN 2 ELSE lead END END + CASE WHEN doc_id % 8 = 3 THEN 1 ELSE 0 END AS size,
+  CASE WHEN doc_id % 9 = 1 THEN 'missing' WHEN doc_id % 10 = 4 THEN 'unlisted' WHEN doc_id % 8 = 3 THEN 'mismatch' ELSE 'ok' END AS status FROM (
+ SELECT *, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'png' WHEN 2 THEN 'jpeg' WHEN 3 THEN 'webp' ELSE 'txt' END AS ext,
+  CASE doc_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'image/webp' END AS mime,
+  CASE doc_id % 5 WHEN 0 THEN 5 WHEN 1 THEN 8 WHEN 2 THEN 3 WHEN 3 THEN 12 ELSE 1 END AS lead FROM documents))
+ WHERE NOT (doc_id % 9 = 1 AND doc_id % 10 = 4) AND NOT (status = 'unlisted' AND size = 0)""")
+def _(spark, sf):
+    """Real files in the shared folder: some never arrive, some have a byte more than the manifest knows, some are in no manifest."""
+    k, folder = F.col("doc_id"), tables.scratch_folder(spark, "uploads")
+    sent = _uploads(spark, sf).withColumn("name", F.regexp_extract("name", r"([^/]+)$", 1))
+    extra = F.when(k % 8 == 3, F.encode(F.lit("!"), "UTF-8")).otherwise(F.lit("").cast("binary"))
+    file_audit.write_files(sent.where(k % 9 != 1).withColumn("content", F.concat("content", extra)), folder)
+    manifest = sent.where(k % 10 != 4).select("name", F.sha2("content", 256).alias("sha256"))
+    found = file_audit.audit_manifest(spark, folder, manifest).withColumnRenamed("status", "integrity")
+    audited = file_audit.audit_files(found.join(sent.select("doc_id", "name", "declared_type"), "name"), 6000)
+    arrived = F.col("integrity") != "missing"
+    return audited.select("doc_id", F.col("integrity").alias("status"), F.when(arrived, F.col("reason")).alias("reason"), F.col("length").alias("size"))
+
+
 @query("P15_feature_guard", """SELECT year, round, count(*) AS rows FROM observed WHERE year >= 2000 GROUP BY ALL""", ("observed",))
 def _(spark, sf):
     from cutline.schemas import PRE_SEASON_FEATURES, check_features

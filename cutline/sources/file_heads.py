@@ -12,11 +12,16 @@ HEAD_BYTES = 4096
 OPENABLE = ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
 
 
+def local_path(path: str) -> str | None:
+    """The plain path of a local or mounted file, None for other schemes."""
+    found = re.fullmatch(r"(?:file:(?://)?)?(/.*)", path)
+    return found.group(1) if found else None
+
+
 def open_file(path: str):
     """A readable binary stream of ``path`` (a plain path or a URI of an openable scheme)."""
-    local = re.fullmatch(r"(?:file:(?://)?)?(/.*)", path)
-    if local:
-        return open(local.group(1), "rb")
+    if local := local_path(path):
+        return open(local, "rb")
     from pyarrow.fs import FileSystem
 
     system, inner = FileSystem.from_uri(re.sub("^s3a:", "s3:", path))

@@ -177,3 +177,22 @@ def test_headers_read_a_bounded_head(spark, tmp_path):
     assert rows["2018_round_1.csv"]["bytes_read"] == file_heads.HEAD_BYTES
     assert rows["2018_round_3.csv"]["header"] == "a,b"
     assert file_heads.headers(paths.limit(0)).count() == 0
+
+
+def test_files_are_audited_where_they_lie(spark, tmp_path):
+    import hashlib
+
+    body = {"a.pdf": b"%PDF-" + b"x" * (3 << 20), "b.png": b"nope", "empty.pdf": b"", "new file.pdf": b"%PDF-1"}
+    files = spark.createDataFrame([(n, bytearray(c)) for n, c in body.items()], "name string, content binary")
+    folder = str(tmp_path / "box")
+    assert file_audit.write_files(files, folder) == 4 == file_audit.write_files(files, folder)
+    assert sorted(os.listdir(folder)) == sorted(body)
+    sha = lambda b: hashlib.sha256(b).hexdigest().upper()
+    manifest = spark.createDataFrame(
+        [("a.pdf", sha(body["a.pdf"])), ("b.png", sha(b"nopf")), ("empty.pdf", sha(b"")), ("gone.pdf", sha(b"x"))], "name string, sha256 string")
+    rows = file_audit.audit_manifest(spark, folder, manifest)
+    assert {r["name"]: (r["status"], r["length"]) for r in rows.collect()} == {
+        "a.pdf": ("ok", 5 + (3 << 20)), "b.png": ("mismatch", 4), "empty.pdf": ("ok", 0), "gone.pdf": ("missing", None), "new file.pdf": ("unlisted", 6)}
+    reasons = file_audit.audit_files(rows.withColumn("declared_type", F.lit("application/pdf")), 4 << 20)
+    assert {r["name"]: r["reason"] for r in reasons.collect()} == {
+        "a.pdf": None, "b.png": "declared_type_mismatch", "empty.pdf": "empty", "gone.pdf": "empty", "new file.pdf": None}
