@@ -206,12 +206,12 @@ def _(spark, sf):
     return rounded(dg.spearman(rows, ["origin"], "last_closing_rank", "actual_closing_rank"))
 
 
-cte("ranked", "SELECT origin, last_closing_rank AS a, actual_closing_rank AS b, row_number() OVER () AS i FROM forecasts WHERE actual_closing_rank IS NOT NULL", ("forecasts",))
+cte("paired_rows", "SELECT origin, last_closing_rank AS a, actual_closing_rank AS b, row_number() OVER () AS i FROM forecasts WHERE actual_closing_rank IS NOT NULL", ("forecasts",))
 
 
 @query("M26_kendall_season", """SELECT origin, round((c - dd) / (sqrt(CAST(n AS DOUBLE) - tx) * sqrt(CAST(n AS DOUBLE) - ty)), 6) AS kendall FROM (
  SELECT x.origin, count(*) AS n, count(*) FILTER (sign(x.a - y.a) * sign(x.b - y.b) > 0) AS c, count(*) FILTER (sign(x.a - y.a) * sign(x.b - y.b) < 0) AS dd, count(*) FILTER (x.a = y.a) AS tx, count(*) FILTER (x.b = y.b) AS ty
- FROM ranked x JOIN ranked y ON x.origin = y.origin AND x.i < y.i GROUP BY x.origin)""", ("ranked",))
+ FROM paired_rows x JOIN paired_rows y ON x.origin = y.origin AND x.i < y.i GROUP BY x.origin)""", ("paired_rows",))
 def _(spark, sf):
     """Whole seasons, each one group."""
     rows = ev.rolling_forecasts(_table(spark, sf)).where(F.col("actual_closing_rank").isNotNull())

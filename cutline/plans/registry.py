@@ -14,6 +14,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
 def cte(name: str, sql: str, needs: tuple[str, ...] = ()) -> None:
+    if name in CTES:
+        raise ValueError(f"cte {name} defined twice")
     CTES[name] = (needs, sql)
 
 

@@ -1,3 +1,7 @@
+import os
+
+import pytest
+
 import re
 
 import __spark_entry__ as entry_point
@@ -35,3 +39,21 @@ def test_no_pair_products_in_profile_matching(spark, sf_dir):
     for small in (True, False):
         text = plan(profiles.match_candidates(d.profiles(spark, sf_dir), table, checked_small=small))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_every_checking_sql_binds():
+    """Shared parts of the SQL have one meaning each, and all of it resolves against the test tables."""
+    import glob
+
+    import duckdb
+
+    from cutline.plans import ORACLES
+    from cutline.plans.registry import cte
+
+    con = duckdb.connect()
+    for f in glob.glob("/root/testdata/sf0.001/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    for name, sql in ORACLES.items():
+        con.execute("EXPLAIN " + sql)
+    with pytest.raises(ValueError):
+        cte("observed", "SELECT 1")
