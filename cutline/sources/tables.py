@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from cutline.session import durable, scratch_folder
+from cutline.session import broadcast_if_small, durable, scratch_folder, written
 
 
 _STORED: dict[tuple[str, str], tuple[str, T.StructType]] = {}
@@ -101,10 +101,11 @@ def dimension(df: DataFrame, column: str, first_code: int = 1000) -> DataFrame:
 def relational_layout(cutoffs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(institutes, programs, cutoffs with institute_code and program_code).
 
-    Rows lacking either rank are not loaded.
+    Rows lacking either rank are not loaded. The rest is stored once, since both dimensions and the facts
+    read it; a dimension is broadcast when its measured size allows.
     """
-    ranked = cutoffs.where(F.col("opening_rank").isNotNull() & F.col("closing_rank").isNotNull())
-    institutes, programs = dimension(ranked, "institute"), dimension(ranked, "program")
+    ranked = written(cutoffs.where(F.col("opening_rank").isNotNull() & F.col("closing_rank").isNotNull()), "ranked")
+    institutes, programs = (broadcast_if_small(dimension(ranked, c), c) for c in ("institute", "program"))
     facts = (
         ranked.join(institutes.withColumnRenamed("code", "institute_code"), "institute")
         .join(programs.withColumnRenamed("code", "program_code"), "program").drop("institute", "program")
