@@ -1,9 +1,8 @@
 import os
+import re
 
 import pytest
 
-import re
-
 import __spark_entry__ as entry_point
 
 
