@@ -19,6 +19,7 @@ LIST_LENGTH_MAX = 4
 
 UNIVERSE_BROADCAST_ROWS = 500_000
 SALTS = 32
+PROFILES_A_TASK = 2_000
 
 
 def rejection_reasons() -> Column:
@@ -69,12 +70,23 @@ def eligible(universe_columns: list[str]) -> Column:
     )
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` spread over tasks by profile, a bounded number of them to each.
+
+    A profile becomes hundreds of pairs with a broadcast table, in the task that reads it, and a small
+    file is read by one task. Pairs also stay with their profile, so no window or grouping by
+    ``profile_id`` moves them again. The number of tasks is explicit: adaptive execution would size them by the narrow rows.
+    """
+    parallel = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(parallel, -(-rows.count() // PROFILES_A_TASK)), "profile_id")
+
+
 def match_candidates(profiles: DataFrame, universe: DataFrame, checked_small: bool | None = None) -> DataFrame:
     """(profile, candidate) pairs: category, gender, round and PwD pool equal, then ``eligible``.
 
     The equi-keys have few values, so a shuffle join would pile a large share of both sides on
-    a few tasks. A counted, small universe is broadcast (profiles then never move). A larger
-    one is spread: each profile takes one of SALTS slices of tasks, the universe is copied to
+    a few tasks. A counted, small universe is broadcast to profiles that are spread over tasks. A larger
+    one is spread itself: each profile takes one of SALTS slices of tasks, the universe is copied to
     each slice, so the heaviest key is divided by SALTS.
     """
     if "is_pwd" not in universe.columns:
@@ -87,7 +99,7 @@ def match_candidates(profiles: DataFrame, universe: DataFrame, checked_small: bo
         small = checked_small
         universe = F.broadcast(universe) if small else universe
     if small:
-        pairs = profiles.join(universe, equi)
+        pairs = spread(profiles).join(universe, equi)
     else:
         salted = profiles.withColumn("__salt", F.pmod(F.xxhash64("profile_id"), F.lit(SALTS)).cast("int"))
         copies = universe.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
