@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cutline.functions import scoring
 from cutline.functions.keys import broadcast_if_small, null_safe_join
-from cutline.operators.profiles import SALTS, UNIVERSE_BROADCAST_ROWS
+from cutline.operators.profiles import SALTS, UNIVERSE_BROADCAST_ROWS, spread
 
 # --- fixed values -------------------------------------------------------------------------
 DECAY = 0.6
@@ -123,7 +123,7 @@ def eligible_assets(users: DataFrame, asset_rows: DataFrame) -> DataFrame:
     equi = ["category", "quota_pool"]
     assets_, small = broadcast_if_small(asset_rows, UNIVERSE_BROADCAST_ROWS)
     if small:
-        pairs = users.join(assets_, equi)
+        pairs = spread(users).join(assets_, equi)
     else:
         salted = users.withColumn("__salt", F.pmod(F.xxhash64("profile_id"), F.lit(SALTS)).cast("int"))
         copies = asset_rows.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -157,6 +157,12 @@ def simulated(spark, sf):
     return out.withColumn("gender_tag", F.when(F.col("is_female"), "F").otherwise("N"))
 
 
+def first_runs(spark, sf):
+    """Each profile's first run per choice; only what later steps read is carried along."""
+    return pm.first_run_wins(simulated(spark, sf).select(
+        "profile_id", "institute", "program", "quota_pool", "gender_tag", "run", "gender", "is_pwd", "probability_percent"))
+
+
 @query("J9_eligible_assets", f"SELECT profile_id, run, {AK} FROM routes", ("routes",))
 def _(spark, sf):
     return routed(spark, sf).select("profile_id", "run", *pm.ASSET_KEY)
@@ -169,13 +175,13 @@ def _(spark, sf):
 
 @query("X7_first_run_wins", "SELECT profile_id, institute, program, quota_pool, gender_tag, run, probability_percent FROM first_run", ("first_run",))
 def _(spark, sf):
-    return pm.first_run_wins(simulated(spark, sf)).select("profile_id", "institute", "program", "quota_pool", "gender_tag", "run", "probability_percent")
+    return first_runs(spark, sf).select("profile_id", "institute", "program", "quota_pool", "gender_tag", "run", "probability_percent")
 
 
 @query("A27_simulation_summary", """SELECT profile_id, count(*) AS total_options, max(institute) FILTER (i = 0) AS safest_choice, max(institute) FILTER (i = CAST(floor(options * 0.33e0) AS BIGINT)) AS top_upgrade FROM (
  SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY probability_percent DESC, institute, program, quota_pool, gender_tag) - 1 AS i, count(*) OVER (PARTITION BY profile_id) AS options FROM first_run) GROUP BY profile_id""", ("first_run",))
 def _(spark, sf):
-    return pm.simulation_summary(pm.first_run_wins(simulated(spark, sf)))
+    return pm.simulation_summary(first_runs(spark, sf))
 
 
 # --- preference expansion and capacity cut ------------------------------------------------
