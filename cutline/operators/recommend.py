@@ -12,6 +12,8 @@ from cutline.functions import scoring, text
 from cutline.schemas import BUCKETS, INSTITUTE_TYPES
 
 # --- fixed values: share of each bucket in a full list of 100 -----------------------------
+EXAMS = ["JEE_ADVANCED", "JEE_MAIN"]
+CLASSES = {"rank_type_used": EXAMS, "recommendation_bucket": BUCKETS}
 BUCKET_QUOTAS = {"safe_backup": 30, "best_realistic": 50, "ambitious_reach": 20}
 
 
@@ -145,6 +147,11 @@ def is_balanced() -> Column:
     return F.coalesce(F.col("sort_mode"), F.lit("best_fit")) == "best_fit"
 
 
+def whole_slice(window):
+    """All rows of an ordered window: shares its sort with running counts."""
+    return window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def quota_and_backfill(ordered: DataFrame) -> DataFrame:
     """Heads of each bucket up to its quota, then the best of the rest up to top_n.
 
@@ -152,19 +159,18 @@ def quota_and_backfill(ordered: DataFrame) -> DataFrame:
     sorted by another mode than best_fit take the plain first ``top_n``.
     """
     top_n = F.col("top_n")
-    quota = None
-    group = None
+    # one order serves all windows, so a slice is sorted once
+    mine = Window.partitionBy("profile_id").orderBy("sort_position")
+    head = group = None
     for i, b in enumerate(BUCKET_QUOTAS):
         hit = F.col("recommendation_bucket") == b
-        quota = F.when(hit, scaled_quota(b, top_n)) if quota is None else quota.when(hit, scaled_quota(b, top_n))
+        enough = F.sum(hit.cast("int")).over(mine) <= scaled_quota(b, top_n)
+        head = F.when(hit, enough) if head is None else head.when(hit, enough)
         group = F.when(hit, i) if group is None else group.when(hit, i)
-    in_bucket = Window.partitionBy("profile_id", "recommendation_bucket").orderBy("sort_position")
-    mine = Window.partitionBy("profile_id")
-    head = ordered.withColumn("__head", F.when(
-        is_balanced(), F.row_number().over(in_bucket) <= quota).otherwise(F.col("sort_position") <= top_n))
-    counted = head.withColumns({
-        "__n_head": F.sum(F.col("__head").cast("int")).over(mine),
-        "__fill": F.sum((~F.col("__head")).cast("int")).over(mine.orderBy("sort_position")),
+    marked = ordered.withColumn("__head", F.when(is_balanced(), head).otherwise(F.col("sort_position") <= top_n))
+    counted = marked.withColumns({
+        "__n_head": F.sum(F.col("__head").cast("int")).over(whole_slice(mine)),
+        "__fill": F.sum((~F.col("__head")).cast("int")).over(mine),
     })
     filled = ~F.col("__head") & (F.col("__fill") <= top_n - F.col("__n_head"))
     return counted.withColumns({
@@ -179,16 +185,16 @@ def _swap_in(pool: DataFrame, column: str, value: str, step: int, wanted: Column
     """Give class ``value`` of ``column`` a place: its best unpicked row replaces the last
     picked row whose own class is picked more than once. At most one swap per profile."""
     mine = Window.partitionBy("profile_id")
-    peers = Window.partitionBy("profile_id", column)
     picked, has = F.col("selected"), F.col(column) == value
+    of = {c: picked & (F.col(column) == c) for c in CLASSES[column]}
+    # the last picked row of each class and the class's number, so one window finds both sides of a swap
     marked = pool.withColumns({
         "__have": F.max((picked & has).cast("int")).over(mine),
         "__best": F.min(F.when(~picked & has, F.col("sort_position"))).over(mine),
         "__n": F.sum(picked.cast("int")).over(mine),
-        "__peers": F.sum(picked.cast("int")).over(peers),
-    }).withColumn(
-        "__last", F.max(F.when(picked & (F.col("__peers") > 1), F.col("pick_order"))).over(mine)
-    )
+        **{f"__n_{c}": F.sum(cond.cast("int")).over(mine) for c, cond in of.items()},
+        **{f"__last_{c}": F.max(F.when(cond, F.col("pick_order"))).over(mine) for c, cond in of.items()},
+    }).withColumn("__last", F.greatest(*[F.when(F.col(f"__n_{c}") > 1, F.col(f"__last_{c}")) for c in of]))
     swap = F.coalesce(
         wanted & (F.col("__have") == 0) & F.col("__best").isNotNull() & F.col("__last").isNotNull()
         & (F.col("__n") >= F.col("top_n")), F.lit(False),
@@ -199,30 +205,55 @@ def _swap_in(pool: DataFrame, column: str, value: str, step: int, wanted: Column
         "selected": F.when(comes, True).when(goes, False).otherwise(picked),
         "pick_order": F.when(comes, F.struct(
             F.lit(len(BUCKET_QUOTAS) + 1).alias("group"), F.lit(step).cast("bigint").alias("at"))).otherwise(F.col("pick_order")),
-    }).drop("__have", "__best", "__n", "__peers", "__last")
+    }).drop("__have", "__best", "__n", "__last", *[f"__{x}_{c}" for x in ("n", "last") for c in of])
+
+
+def _within_reach(ordered: DataFrame, spares: dict) -> DataFrame:
+    """Rows that a list can take: the first ``top_n``, and of a class as many as a list can hold and spare.
+
+    Without the others the same rows are picked: heads and fill lie among those kept, and so do the first
+    unpicked rows of each class. Profiles that share an id but not their wishes can pick up to three lists together.
+    """
+    mine = Window.partitionBy("profile_id").orderBy("sort_position")
+    everything, top_n = whole_slice(mine), F.col("top_n")
+    alike = (F.min(top_n).over(everything) == F.max(top_n).over(everything)) & (
+        F.min(is_balanced()).over(everything) == F.max(is_balanced()).over(everything))
+    marked = ordered.withColumns({
+        "__top": F.max(top_n).over(everything), "__alike": alike, "__any": F.max(is_balanced()).over(everything),
+        "__at": F.row_number().over(mine),
+        **{f"__in_{c}": F.sum((F.col(column) == c).cast("int")).over(mine) for column, (classes, _) in spares.items() for c in classes},
+    })
+    held = F.when(F.col("__alike"), F.col("__top")).otherwise(4 * F.col("__top"))
+    keep = F.col("__at") <= F.col("__top")
+    for column, (classes, depth) in spares.items():
+        for c in classes:
+            keep = keep | (F.col("__any") & (F.col(column) == c) & (F.col(f"__in_{c}") <= held + depth))
+    return marked.where(keep).drop(
+        "__top", "__alike", "__any", "__at", *[f"__in_{c}" for classes, _ in spares.values() for c in classes])
 
 
 def balanced_selection(ordered: DataFrame) -> DataFrame:
     """Quotas, backfill, then every exam type and every bucket keeps at least one place."""
-    first = quota_and_backfill(ordered)
-    # each of the five steps takes at most one unpicked row of a class, so five per class do
-    spare = lambda c: F.row_number().over(
-        Window.partitionBy("profile_id", c, "selected").orderBy("sort_position")) <= 5
-    pool = first.withColumns({"__a": spare("rank_type_used"), "__b": spare("recommendation_bucket")}).where(
-        F.col("selected") | F.col("__a") | F.col("__b")
-    ).drop("__a", "__b")
-    mine = Window.partitionBy("profile_id")
-    types = ["JEE_ADVANCED", "JEE_MAIN"]
-    for t in types:
-        pool = pool.withColumn(
-            f"__miss_{t}",
-            F.max((F.col("selected") & (F.col("rank_type_used") == t)).cast("int")).over(mine) == 0,
-        )
-    for step, t in enumerate(types):
+    # A step takes the best unpicked row of its class or none. Only the two exam steps can take rows of a bucket
+    # before its own step, and nothing takes rows of an exam before its own. Other lists than balanced ones swap nothing.
+    spares = {"rank_type_used": (EXAMS, 1), "recommendation_bucket": (list(BUCKET_QUOTAS), 3)}
+    first = quota_and_backfill(_within_reach(ordered, spares))
+    mine = Window.partitionBy("profile_id").orderBy("sort_position")
+    everything, unpicked = whole_slice(mine), ~F.col("selected")
+    spare = F.lit(False)
+    for column, (classes, depth) in spares.items():
+        for value in classes:
+            mark = unpicked & (F.col(column) == value)
+            spare = spare | (mark & (F.sum(mark.cast("int")).over(mine) <= depth))
+    pool = first.withColumns({
+        "__spare": spare & F.max(is_balanced()).over(everything),
+        **{f"__miss_{t}": F.max((F.col("selected") & (F.col("rank_type_used") == t)).cast("int")).over(everything) == 0 for t in EXAMS},
+    }).where(F.col("selected") | F.col("__spare")).drop("__spare")
+    for step, t in enumerate(EXAMS):
         pool = _swap_in(pool, "rank_type_used", t, step, is_balanced() & F.col(f"__miss_{t}"))
-    for step, b in enumerate(BUCKET_QUOTAS, start=len(types)):
+    for step, b in enumerate(BUCKET_QUOTAS, start=len(EXAMS)):
         pool = _swap_in(pool, "recommendation_bucket", b, step, is_balanced())
-    return pool.where("selected").drop("selected", "pick_order", *[f"__miss_{t}" for t in types])
+    return pool.where("selected").drop("selected", "pick_order", *[f"__miss_{t}" for t in EXAMS])
 
 
 def recommend(scored: DataFrame) -> DataFrame:

@@ -47,3 +47,28 @@ def test_assets_of_a_small_file_are_matched_by_many_tasks(spark):
                                    "category string, quota_pool string, gender string, is_pwd boolean, institute_state string, asset int")
     pairs = pm.eligible_assets(users, assets)
     assert pairs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1 and pairs.count() == 3500
+
+
+def _ordered(spark):
+    """Long slices of three profiles; one class of each kind is only found far down, one list wants no balance."""
+    rows = []
+    for who, mode in ((1, "best_fit"), (2, "safest_backup"), (None, "best_fit")):
+        for at in range(1, 301):
+            bucket = "ambitious_reach" if at == 290 else "best_realistic" if at > 200 else "safe_backup"
+            rows.append((who, mode, 10, f"c{at}", at, bucket, "JEE_ADVANCED" if at == 280 else "JEE_MAIN"))
+    return spark.createDataFrame(rows, "profile_id bigint, sort_mode string, top_n int, choice_id string, sort_position int, recommendation_bucket string, rank_type_used string")
+
+
+def test_a_slice_is_sorted_once_for_quotas_and_swaps(spark):
+    sorts = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Sort [")
+    assert sorts(recommend.quota_and_backfill(_ordered(spark))) == 1
+    assert sorts(recommend.balanced_selection(_ordered(spark))) == 1
+
+
+def test_rows_far_down_a_slice_still_come_in(spark):
+    got = {}
+    for r in recommend.balanced_selection(_ordered(spark)).collect():
+        got.setdefault(r["profile_id"], []).append(r["sort_position"])
+    # heads 1-3 safe, 201-205 realistic, 290 reach, fill 4; the one JEE_ADVANCED row takes the place of the last pick
+    assert sorted(got[1]) == sorted(got[None]) == [1, 2, 3, 201, 202, 203, 204, 205, 280, 290]
+    assert sorted(got[2]) == list(range(1, 11))
