@@ -24,6 +24,21 @@ PERCENTILE_DRAWS = 10_000
 DRAW_CELLS = 2048
 
 
+def decimals(c: Column, digits: int, even: bool = False) -> Column:
+    """``round`` (``bround`` where ``even``) of a double to ``digits`` places, at the price of a division.
+
+    Both functions go through decimal text for every row. Away from a tie the nearest whole number of
+    steps is the same by plain arithmetic, and dividing two whole doubles gives the double nearest to
+    the decimal; ties, huge and missing values still take the function.
+    """
+    scale = F.lit(float(10 ** digits))
+    steps = c * scale
+    whole = F.floor(steps + F.lit(0.5))
+    # the product is off by less than 2e-4 below 1e12, so 0.499 leaves no doubt about the side of a tie
+    clear = (F.abs(steps) < F.lit(1e12)) & (F.abs(steps - whole) < F.lit(0.499))
+    return F.when(clear, whole / scale).otherwise(F.bround(c, digits) if even else F.round(c, digits))
+
+
 def standard_draws(n: int = N_DRAWS) -> list[float]:
     """Fixed low-discrepancy Box-Muller normals, sorted; the same set serves every row, so
     equal spread always gives a likelihood monotone in the cutoff."""
@@ -175,7 +190,7 @@ def safety(p: Column, predicted: Column, rank: Column) -> Column:
 
 def recommendation_score(desirable: Column, admissible: Column, fitting: Column) -> Column:
     viable = desirable * F.greatest(admissible, fitting)
-    return F.bround(100.0 * (0.45 * viable + 0.30 * fitting + 0.25 * admissible), 4)
+    return decimals(100.0 * (0.45 * viable + 0.30 * fitting + 0.25 * admissible), 4, even=True)
 
 
 def legacy_score(p: Column, predicted: Column, rank: Column) -> Column:

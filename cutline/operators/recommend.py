@@ -75,7 +75,7 @@ def score_candidates(rows: DataFrame, simulate: bool = True) -> DataFrame:
     ).drop("__log")
     prob = F.col("admission_probability")
     step3 = step2.withColumns({
-        "model_probability_percent": F.bround(prob * 100, 1),
+        "model_probability_percent": scoring.decimals(prob * 100, 1, even=True),
         "confidence_label": scoring.confidence_label(prob),
         "desirability_score": scoring.desirability(
             F.col("competitiveness_score"), F.col("institute_score"), F.col("branch_score")),

@@ -386,7 +386,7 @@ def _(spark, sf):
 
 
 def _view(spark, sf):
-    return scored(spark, sf).withColumn("probability_percent", F.bround(F.col("admission_probability") * 100, 1))
+    return scored(spark, sf).withColumn("probability_percent", scoring.decimals(F.col("admission_probability") * 100, 1, even=True))
 
 
 @query("P12_F14_view_filter", """SELECT profile_id, choice_id FROM parts_ WHERE institute_type = 'NIT' AND recommendation_bucket = 'best_realistic' AND (contains(lower(institute), 'engineering') OR contains(lower(program), 'engineering'))""", ("parts_",))
