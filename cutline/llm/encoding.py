@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
@@ -28,11 +29,6 @@ def segments(text: str) -> list[str]:
     return parts[:1] + [" " + p for p in parts[1:]]
 
 
-class _Table(dict):
-    def __missing__(self, key: str) -> int:
-        return -1
-
-
 class SegmentEncoder:
     """``keep`` bounds the table of segments; ``with_ids`` false keeps lengths only."""
 
@@ -46,12 +42,12 @@ class SegmentEncoder:
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():  # one character of a token stands for one byte
             self.bytes_of[i] = len(token)
-        self.table = _Table()
+        self.table: dict[str, int] = {}
         self.lengths, self.starts, self.uses = (np.zeros(0, np.int64) for _ in range(3))
         self.ids = np.zeros(0, np.uint32)
 
     @classmethod
-    def open(cls, path: str, keep: int = 400_000, with_ids: bool = True) -> "SegmentEncoder":
+    def open(cls, path: str, keep: int = 1_000_000, with_ids: bool = True) -> "SegmentEncoder":
         key = (path, keep, with_ids)
         if key not in _OPEN:
             _OPEN[key] = cls(path, keep, with_ids)
@@ -62,7 +58,7 @@ class SegmentEncoder:
         stay = np.flatnonzero(self.uses >= max(1, np.sort(self.uses)[-(self.keep // 2)]))
         number = np.full(len(self.uses), -1)
         number[stay] = np.arange(len(stay))
-        self.table = _Table((s, k) for s, i in self.table.items() if (k := int(number[i])) >= 0)
+        self.table = {s: k for s, k in zip(self.table, number[np.fromiter(self.table.values(), np.int64, len(self.table))].tolist()) if k >= 0}
         if self.with_ids:
             self.ids = gathered(self.ids, self.starts[stay], self.lengths[stay])
         self.lengths = self.lengths[stay]
@@ -103,7 +99,7 @@ class SegmentEncoder:
     def _numbers(self, parts: list[str]) -> np.ndarray:
         """Table rows of the segments. Unknown ones are cut further where a letter meets a sign or a
         lone line end meets a letter (also safe), and what is still unknown is encoded."""
-        found = np.fromiter(map(self.table.__getitem__, parts), np.int64, len(parts))
+        found = np.fromiter(map(self.table.get, parts, repeat(-1)), np.int64, len(parts))
         missing = np.flatnonzero(found < 0).tolist()
         if missing:
             new = dict.fromkeys(parts[i] for i in missing)

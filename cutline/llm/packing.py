@@ -140,7 +140,7 @@ def packed_pieces(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = (102
             return pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], id_type), *(pa.array(c, t) for c, t in zip(columns[1:], types))], ["id", *_COLUMNS])
 
-        for chunk in chunks(batches, size=1 << 18):
+        for chunk in chunks(batches, size=1 << 21):
             ids_of, id_type = chunk.column("id").to_pylist(), chunk.column("id").type
             counts, ids = encoder.encode(pc.fill_null(chunk.column("text"), "").to_pylist())
             for doc, n, end in zip(ids_of, counts.tolist(), np.cumsum(counts).tolist()):
