@@ -130,8 +130,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_column
             vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """Exact top-k by squared L2 distance: query_id, id, distance, rank.
 
-    Queries fall into blocks of about QUERY_BLOCK rows and vectors into slices of about VECTOR_SLICE,
-    both by hash; each (block, slice) meets in one task as one matrix product that
+    Queries fall into blocks of QUERY_BLOCK rows or more (a sixteenth of them, sixteen QUERY_BLOCK at most, so that vectors
+    are not copied too often) and vectors into slices of about VECTOR_SLICE, both by hash; each (block, slice) meets in one task as one matrix product that
     keeps the k best of every query, and those are merged per query. Nothing passes the driver. Exact search
     stays |queries| x |vectors| distances: for large query tables choose ``approximate_nearest``.
     """
@@ -139,7 +139,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_column
         raise ValueError(f"k must be between 1 and {TOP_K_MAX}")
     queries = queries.where(F.col(query_vector).isNotNull())
     vectors = vectors.where(F.col(vector).isNotNull())
-    blocks, slices = (max(1, -(-t.count() // n)) for t, n in ((queries, QUERY_BLOCK), (vectors, VECTOR_SLICE)))
+    asked = queries.count()
+    blocks = max(1, -(-asked // min(max(QUERY_BLOCK, asked // 16), 16 * QUERY_BLOCK)))
+    slices = max(1, -(-vectors.count() // VECTOR_SLICE))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     left = queries.select(F.col(query_id).alias("__q"), F.col(query_vector).alias("__x"), place(query_id, blocks).alias("__block"),
                           F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("__slice"))
@@ -158,17 +160,22 @@ def _merged_best(left: DataFrame, right: DataFrame, meet: list[str], k: int, id_
             return pd.DataFrame({query_id: [], id_column: [], "distance": []})
         x, y = (np.array(t.tolist(), dtype=np.float64) for t in (asked["__x"], stored["__y"]))
         ids, names, out = asked["__q"].to_numpy(), stored["__v"].to_numpy(), []
-        square = (y ** 2).sum(axis=1)
+        square, few = (y ** 2).sum(axis=1), min(k, len(y))
+        lanes = max(1, len(y) // 64)
         for a in range(0, len(x), 256):
+            part = x[a: a + 256]
             # the product ranks; the few that can be among the k best are measured again exactly
-            rough = square - 2 * (x[a: a + 256] @ y.T)
-            slack = 1e-9 * (1 + square.max() + (x[a: a + 256] ** 2).sum(axis=1))
-            bound = np.partition(rough, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1] + slack
-            for i, near in enumerate(rough <= bound[:, None]):
-                near = np.flatnonzero(near)
-                d = ((y[near] - x[a + i]) ** 2).sum(axis=1)
-                near = near[order := np.lexsort((names[near], d))[:k]]
-                out.append(pd.DataFrame({query_id: ids[a + i], id_column: names[near], "distance": d[order]}))
+            rough = square - 2 * (part @ y.T)
+            slack = 1e-9 * (1 + square.max() + (part ** 2).sum(axis=1))
+            # the k-th least of the minima of many lanes is no smaller than the k-th least of all
+            low = rough[:, : len(y) // lanes * lanes].reshape(len(part), -1, lanes).min(axis=1) if lanes > few else rough
+            bound = np.partition(low, few - 1, axis=1)[:, few - 1] + slack
+            i, near = np.nonzero(rough <= bound[:, None])
+            d = np.concatenate([((y[near[b: b + 65_536]] - part[i[b: b + 65_536]]) ** 2).sum(axis=1) for b in range(0, len(i), 65_536)])
+            order = np.lexsort((names[near], d, i))
+            i, near, d = i[order], near[order], d[order]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append(pd.DataFrame({query_id: ids[a + i[kept]], id_column: names[near[kept]], "distance": d[kept]}))
         return pd.concat(out, ignore_index=True)
 
     merged = left.groupBy(*meet).cogroup(right.groupBy(*meet)).applyInPandas(best, schema)
@@ -225,7 +232,8 @@ class CellIndex:
             raise ValueError(f"k must be between 1 and {TOP_K_MAX}")
         probes = probes or self.probes_for(k)
         asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("__q"), F.col(query_vector).alias("__x"))
-        asked = durable(asked.withColumn("cell", F.explode(_nearest_cells(self.centers, min(probes, len(self.centers)))("__x"))))
+        asked = durable(asked.withColumn("cells", _nearest_cells(self.centers, min(probes, len(self.centers)))("__x")))
+        asked = asked.select("__q", "__x", F.explode("cells").alias("cell"))
         # one small row per cell, as many as centers
         sizes = self.rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VECTOR_SLICE).alias("__slices")).join(
             asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("__blocks")), "cell")

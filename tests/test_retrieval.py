@@ -97,10 +97,26 @@ def test_missing_chunk_numbers_follow_list_positions(spark):
     assert got == {(1, 0, "x"), (1, 0, "z"), (1, 1, "a"), (1, 2, "b"), (2, 7, "q")}
 
 
-def test_recall_asks_every_fiftieth_vector_of_all(spark, tmp_path):
+def test_recall_asks_every_vector_of_all(spark, tmp_path):
     from cutline.plans.registry import QUERIES
 
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=4).tolist(), i % 3) for i in range(120)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert [tuple(r) for r in QUERIES["R3_cell_index_recall"](spark, str(tmp_path)).collect()] == [(3, True, True)]
+    assert [tuple(r) for r in QUERIES["R3_cell_index_recall"](spark, str(tmp_path)).collect()] == [(120, True, True)]
+
+
+def test_nearest_keeps_ties_of_one_lane_apart(spark, monkeypatch):
+    """Equal and nearly equal vectors that lie in the same lane of minima, several for a query, in larger query blocks."""
+    monkeypatch.setattr(rt, "QUERY_BLOCK", 8)
+    g = np.random.default_rng(1)
+    v = np.repeat(g.normal(size=(150, 3)), 8, axis=0)
+    v[::5] += 1e-7
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>").coalesce(1)
+    queries = vectors.where("vec_id % 4 = 0").selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    got = {}
+    for r in rt.nearest(vectors, queries, 7).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for i in range(0, len(v), 4):
+        d = ((v - v[i]) ** 2).sum(1)
+        assert [b for _, b in sorted(got[i])] == [j for _, j in sorted((float(d[j]), j) for j in range(len(v)))[:7]], i
