@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cutline.session import written
 from cutline.sources.file_heads import local_path, open_file
 
 # --- fixed values: accepted extension -> MIME type and leading bytes ----------------------
@@ -27,6 +30,7 @@ LEADING_HEX = {
 NAME_LENGTH_MAX = 255
 HEAD_LENGTH = 12
 PIECE = 1 << 20
+LISTED_AT_ONCE = 10_000
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,15 +112,58 @@ def file_facts(paths: DataFrame) -> DataFrame:
         _read_facts, "path string, length bigint, head binary, actual_sha256 string")
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    begins = (name.startswith("_") and "=" not in name) or name.startswith(".")
+    return (begins and not name.startswith(("_common_metadata", "_metadata"))) or name.endswith("._COPYING_")
+
+
+def _children(folder: str) -> Iterator[tuple[str, bool]]:
+    """(path, is it a folder) of the folders and the files with content right below ``folder``; a local folder is read as it comes."""
+    if local := local_path(folder):
+        with os.scandir(local) as entries:
+            for e in entries:
+                if not _hidden(e.name) and (e.is_dir() or e.stat().st_size):
+                    yield f"{folder}/{e.name}", e.is_dir()
+        return
+    from pyarrow.fs import FileSelector, FileSystem, FileType
+
+    system, inner = FileSystem.from_uri(re.sub("^s3a:", "s3:", folder))
+    for e in system.get_file_info(FileSelector(inner)):
+        if not _hidden(e.base_name) and (e.type == FileType.Directory or e.size):
+            yield f"{folder}/{e.base_name}", e.type == FileType.Directory
+
+
+def _list(batches: Iterator) -> Iterator:
+    import pandas as pd
+
+    for rows in batches:
+        for folder in rows["path"]:
+            entries = _children(folder)
+            while some := list(islice(entries, LISTED_AT_ONCE)):
+                yield pd.DataFrame(some, columns=["path", "folder"])
+
+
+def _root(folder: str) -> str:
+    root = folder.rstrip("/") if ":" in folder.split("/")[0] else f"file:{folder.rstrip('/')}"
+    return re.sub("^file:/+", "file:/", root)
+
+
 def listed(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths of all files below ``folder`` but empty ones, which Spark does not list; no file is opened."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
-        F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    """Paths of all files below ``folder`` but empty and hidden ones; no file is opened. Tasks list folders, a level at a
+    time, and paths go to a stored table: nothing of them reaches the driver."""
+    folders, out = spark.createDataFrame([(_root(folder),)], "path string"), None
+    while True:
+        found = written(folders.repartition("path").mapInPandas(_list, "path string, folder boolean"), "listing")
+        files, folders = found.where("not folder").select("path"), found.where("folder").select("path")
+        out = files if out is None else out.unionByName(files)
+        if folders.isEmpty():
+            return out
 
 
 def audit_manifest(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """Manifest (name, sha256) against the real files of ``folder``: ok, mismatch, missing, unlisted."""
-    root = folder if ":" in folder.split("/")[0] else f"file:{folder}"
+    root = _root(folder)
     wanted = manifest.select(F.concat(F.lit(f"{root}/"), "name").alias("path"), F.lower("sha256").alias("expected_sha256"))
     facts = file_facts(wanted.select("path").unionByName(listed(spark, folder)))
     both = facts.join(wanted, "path", "left")

@@ -196,3 +196,21 @@ def test_files_are_audited_where_they_lie(spark, tmp_path):
     reasons = file_audit.audit_files(rows.withColumn("declared_type", F.lit("application/pdf")), 4 << 20)
     assert {r["name"]: r["reason"] for r in reasons.collect()} == {
         "a.pdf": None, "b.png": "declared_type_mismatch", "empty.pdf": "empty", "gone.pdf": "empty", "new file.pdf": None}
+
+
+def test_listing_is_done_by_tasks_and_skips_what_spark_skips(spark, tmp_path, monkeypatch):
+    """Folders in folders, empty and hidden files: the same paths as Spark's own listing, without its index in the driver."""
+    from cutline.sources import file_audit
+
+    for name in ("a.txt", "b c.txt", "in/x.txt", "in/deep/y.txt", "_k=1/z.txt", ".hidden", "_private", "in/.part", "in/w._COPYING_"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("1")
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "none").mkdir()
+    want = {r.path.replace("file:///", "file:/") for r in file_audit.read_files(spark, str(tmp_path)).select("path").collect()}
+    monkeypatch.setattr(file_audit, "LISTED_AT_ONCE", 2)
+    got = file_audit.listed(spark, f"{tmp_path}/")
+    paths = [r.path for r in got.collect()]
+    assert len(paths) == 5 and set(paths) == want
+    assert "binaryFile" not in got._jdf.queryExecution().toString()
+    assert {r.path for r in file_audit.listed(spark, f"file://{tmp_path}").collect()} == want
